@@ -7,10 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 16 << 20
 #: Only for sessions that name no shared folder, such as local tests.
 LOCAL_CHECKPOINTS = "/tmp/tessera-checkpoints"
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Bounds the bytes of what Python workers get at once, which a count of rows alone doesn't for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir."""
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS

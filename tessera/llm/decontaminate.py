@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
-from tessera.llm.common import persisted
+from tessera.llm.common import bounded_batches, persisted
 
 #: Of the bit tables, 8 MB each; this is what a pass broadcasts, whatever the items.
 BITS = 1 << 26
@@ -145,7 +145,7 @@ def _occurrences(docs: DataFrame, table, sizes: list[int], reach: int) -> DataFr
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document row: the id, n_words, n_hit, n_items, items (sorted ids as strings) and contaminated."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     windows = persisted(item_windows(items, window, shingle), "windows")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     sizes = _sizes(windows)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm import text as kernel
-from tessera.llm.common import fold
+from tessera.llm.common import bounded_batches, fold
 
 #: Hash buckets of features; the model has a weight for each.
 BUCKETS = 1 << 18
@@ -180,7 +180,7 @@ def with_scores(docs: DataFrame, model: Model, settings: Settings | None = None,
     """All columns of docs and score, which replaces a column of that name."""
     settings = settings or Settings()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, see BUCKETS
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in bounded_batches(docs).columns if c != "score"]
     own = docs.select(*names, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, line_dedup, quality, url_filter
+from tessera.llm import ann, decontaminate, language, line_dedup, quality, url_filter
 from tessera.llm.common import fold, table
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -40,7 +44,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_decontaminate, op6_line_dedup, op8_quality, op10_language)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op6_line_dedup, op8_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
