@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, language, line_dedup, quality, url_filter
+from tessera.llm import ann, decontaminate, language, line_dedup, pii, quality, secrets, url_filter
 from tessera.llm.common import fold, table
 
 
@@ -24,6 +24,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def _span_digest(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFrame:
+    """Counts of base spans by kind, the hash of their list and the list of all spans."""
+    order = lambda x: sum((F.when(x["kind"] == k, i).otherwise(0) for i, k in enumerate(kinds)), F.lit(0))
+    key = (lambda x: (x["start"], order(x))) if by_start else (lambda x: (order(x), x["start"]))
+    written = lambda spans: F.array_join(
+        F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(*(k.alias(f"k{i}") for i, k in enumerate(key(x))), x["end"].alias("end"), x["kind"].alias("kind"), x["start"].alias("start")))), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))),
+        ",",
+    )
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS, by_start=False)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _span_digest(secrets.find(docs, secrets.learn(docs)), secrets.KINDS, by_start=True)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,7 +66,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op6_line_dedup, op8_quality, op10_language)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op5_personal_data, op6_line_dedup, op7_secrets, op8_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
