@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, language, line_dedup, pii, quality, secrets, url_filter
+from tessera.llm import ann, decontaminate, language, line_dedup, pii, quality, secrets, segment, url_filter
 from tessera.llm.common import fold, table
 
 
@@ -59,6 +59,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = segment.encode(table(spark, sf_dir, "documents"))
+    each = encoded.select("doc_id", F.posexplode("samples").alias("place", "s"))
+    return each.select("doc_id", (F.col("place") + 1).alias("sample"), F.size("s.ids").cast("long").alias("n_ids"), F.xxhash64("s.ids").alias("ids_hash"), "s.log_prob", "s.perturbed", "s.inclusion")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     predicted = language.predict(docs.select("doc_id", "text"), language.fit(docs))
@@ -66,7 +72,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op5_personal_data, op6_line_dedup, op7_secrets, op8_quality, op10_language)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op5_personal_data, op6_line_dedup, op7_secrets, op8_quality, op9_sentencepiece, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
