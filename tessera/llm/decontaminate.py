@@ -12,7 +12,7 @@ rarest, by the number of documents that have it.  The steps:
 5. an equi-join on the token, with the bounds that the token's place in the
    window sets, compares the window's words one by one.
 
-Both passes use a bit table of BITS bits, of fixed size, to skip what no item
+Both passes use a bit table of fixed size to skip what no item
 has; what it lets through by chance finds no partner in the joins.
 
 Edge cases: a null text has no words; an item without words has no windows; an
@@ -31,12 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
+from tessera.llm.bits import bit_table, passes
 from tessera.llm.common import bounded_batches, persisted
 
-#: Of the bit tables, 8 MB each; this is what a pass broadcasts, whatever the items.
-BITS = 1 << 26
-_BUCKET = 32768  # bits of one row of bitmap_construct_agg
-
 
 def _words(raw: np.ndarray, offsets: np.ndarray):
     mapped, starts, ends, at = kernel.spans(raw, offsets, kernel.ALNUM_WORDS)
@@ -77,21 +74,6 @@ def item_windows(items: DataFrame, window: int = 10, shingle: int = 5, id_col: s
     return out.mapInArrow(run, "item string, words array<string>, size int, tokens array<long>").distinct()
 
 
-def _bit_table(tokens: DataFrame) -> np.ndarray:
-    """The low bits of the column token as a table of BITS bits; at most BITS / 8 bytes come to the driver."""
-    slot = F.col("token").bitwiseAND(BITS - 1) + 1  # buckets start at 1
-    rows = tokens.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    table = np.zeros(BITS // 8, np.uint8)
-    for bucket, bits in rows:
-        table[(bucket - 1) * (_BUCKET // 8) : bucket * (_BUCKET // 8)] = np.frombuffer(bytes(bits), np.uint8)
-    return table
-
-
-def _passes(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    slot = (tokens & np.uint64(BITS - 1)).astype(np.int64)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-
-
 def _sizes(windows: DataFrame) -> list[int]:
     """At most `shingle` different ones."""
     return sorted(r[0] for r in windows.select("size").distinct().collect())
@@ -109,7 +91,7 @@ def _frequencies(docs: DataFrame, table, sizes: list[int]) -> DataFrame:
                 text = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 for k in sizes:
                     tokens, whole = kernel.grams(hashed, at, k)
-                    hit = np.flatnonzero(whole & _passes(bits, tokens))
+                    hit = np.flatnonzero(whole & passes(bits, tokens))
                     pairs = np.unique(np.rec.fromarrays([text[hit], tokens[hit]]))
                     found.append(pairs["f1"] if len(pairs) else np.zeros(0, np.uint64))
             tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
@@ -131,7 +113,7 @@ def _occurrences(docs: DataFrame, table, sizes: list[int], reach: int) -> DataFr
                 own: list[list] = [[] for _ in range(len(at) - 1)]
                 for k in sizes:
                     tokens, whole = kernel.grams(hashed, at, k)
-                    for p in np.flatnonzero(whole & _passes(bits, tokens)).tolist():
+                    for p in np.flatnonzero(whole & passes(bits, tokens)).tolist():
                         t = int(np.searchsorted(at, p, side="right")) - 1
                         first, end = max(int(at[t]), p - reach), min(int(at[t + 1]), p + reach)
                         own[t].append({"token": int(tokens[p : p + 1].view(np.int64)[0]), "pos": p - int(at[t]), "first": first - int(at[t]), "words": _plain(_strings(mapped, starts, ends, first, end))})
@@ -150,14 +132,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     sizes = _sizes(windows)
     tokens = windows.select(F.explode("tokens").alias("token"))
-    seen = spark.sparkContext.broadcast(_bit_table(tokens))
+    seen = spark.sparkContext.broadcast(bit_table(tokens, "token"))
     common = persisted(_frequencies(own, seen, sizes), "token-counts")
 
     placed = windows.withColumn("wid", F.xxhash64("item", "words")).select("wid", "item", "words", "size", F.posexplode("tokens").alias("place", "token"))
     ranked = placed.join(common, "token", "left").groupBy("wid", "item", "words").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "token", "place", "size")).alias("rarest"))
     # A window whose rarest token is in no document at all needs no join.
     index = persisted(ranked.where("rarest.docs > 0").select("item", "words", F.col("rarest.token").alias("token"), F.col("rarest.place").alias("place")), "prefixes")
-    prefixes = spark.sparkContext.broadcast(_bit_table(index))
+    prefixes = spark.sparkContext.broadcast(bit_table(index, "token"))
 
     found = persisted(_occurrences(own, prefixes, sizes, window), "occurrences")
     hits = found.select("id", "key", F.explode("hits").alias("hit")).select("id", "key", "hit.*").withColumnRenamed("words", "around")

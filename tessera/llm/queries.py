@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, language, line_dedup, pii, quality, secrets, segment, url_filter
+from tessera.llm import ann, decontaminate, jaccard_join, language, line_dedup, pii, quality, secrets, segment, url_filter
 from tessera.llm.common import fold, table
 
 
@@ -24,6 +24,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def _span_digest(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFrame:
     """Counts of base spans by kind, the hash of their list and the list of all spans."""
     order = lambda x: sum((F.when(x["kind"] == k, i).otherwise(0) for i, k in enumerate(kinds)), F.lit(0))
@@ -72,8 +76,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op5_personal_data, op6_line_dedup, op7_secrets, op8_quality, op9_sentencepiece, op10_language)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op2_url_filter, op3_decontaminate, op4_ngram_jaccard, op5_personal_data, op6_line_dedup, op7_secrets, op8_quality, op9_sentencepiece, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op3_decontaminate": decontaminate.oracle(), "op6_line_dedup": line_dedup.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op3_decontaminate": decontaminate.oracle(), "op4_ngram_jaccard": jaccard_join.oracle(), "op6_line_dedup": line_dedup.oracle()}
