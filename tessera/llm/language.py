@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
-from tessera.llm.common import bounded_batches, fold
+from tessera.llm.common import bounded_batches, fold, persisted
 
 
 @dataclass(frozen=True)
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, settings: Settings | None = None, folds: int = 5, held_
     """Learns from rows whose id is not in the held-out fold."""
     settings = settings or Settings()
     rows = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
-    grams = count_grams(rows, settings.order)
+    grams = persisted(count_grams(rows, settings.order), "grams")
     total = grams.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(settings.max_languages)
     ranked = grams.join(F.broadcast(total), "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     top = ranked.where(F.col("rank") <= settings.max_grams).select("lang", "gram", "n").toArrow()
