@@ -194,3 +194,12 @@ def with_scores(docs: DataFrame, model: Model, settings: Settings | None = None,
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), score], names=[*names, "score"])
 
     return own.mapInArrow(run, StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())]))
+
+
+def accepted(docs: DataFrame, model: Model, settings: Settings | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, whose score is at least the threshold."""
+    settings = settings or Settings()
+    own = docs.columns
+    named = docs.withColumnRenamed("score", "__own_score") if "score" in own else docs
+    scored = with_scores(named, model, settings, text_col).where(F.col("score") >= settings.threshold)
+    return scored.select(*(F.col("__own_score" if c == "score" else c).alias(c) for c in own))
