@@ -20,6 +20,7 @@ import stat
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -216,7 +217,6 @@ def read_texts(files: DataFrame) -> DataFrame:
 
     Files are read by path where the tasks run; filter the rows first.
     """
-    import pandas as pd
 
     @F.pandas_udf("string")
     def of(paths: pd.Series) -> pd.Series:
