@@ -45,7 +45,7 @@ from tessera.llm.common import bounded_batches
 #: The file of the vocabulary; it must be readable at this path on every executor.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -187,8 +187,10 @@ class Lattice:
                 break
         alone = found[:, 0] < 0
         found[alone, 0] = 0  # a place for the bytes
-        pos, size = np.nonzero(found >= 0)
-        self.piece = found[pos, size].astype(np.int64)
+        flat = found.ravel()
+        pos = np.flatnonzero(flat >= 0)
+        self.piece = flat[pos].astype(np.int64)
+        pos, size = np.divmod(pos, vocab.longest) if vocab.longest & (vocab.longest - 1) else (pos >> (vocab.longest.bit_length() - 1), pos & (vocab.longest - 1))
         log = vocab.log_weight[self.piece]
         own = alone[pos] & (size == 0)
         self.piece[own] = -1 - chars[pos[own]].astype(np.int64)
@@ -200,19 +202,23 @@ class Lattice:
         self.edge = np.cumsum(self.degree) - self.degree
 
         back = np.zeros(nodes)
-        order = np.argsort(rest, kind="stable")
-        cuts = np.searchsorted(rest[order], np.arange(1, int(rest.max(initial=0)) + 2))
+        most = int(rest.max(initial=0))
+        order = np.argsort(rest.astype(np.int16) if most < 1 << 15 else rest, kind="stable")
+        cuts = np.cumsum(np.bincount(rest, minlength=most + 1))
         for d in range(len(cuts) - 1):
             level = node_of[order[cuts[d] : cuts[d + 1]]]
             if len(level):
                 edges = _ranges(self.edge[level], self.degree[level])
                 back[level] = np.logaddexp.reduceat(log[edges] + back[self.dst[edges]], np.cumsum(self.degree[level]) - self.degree[level])
         self.log = np.minimum(log + back[self.dst] - back[self.src], 0.0)
+        # until: the chance of an edge and those after it; long pieces, the likeliest, come last and are tried first.
         chance = np.exp(self.log)
         running = np.cumsum(chance)
-        self.until = running - np.repeat((running - chance)[self.edge[self.degree > 0]], self.degree[self.degree > 0])
-        ends = (self.edge + self.degree - 1)[self.degree > 0]
-        self.until[ends] = 2.0  # whatever rounding has left
+        some = self.degree > 0
+        ends = (self.edge + self.degree - 1)[some]
+        self.until = np.repeat(running[ends], self.degree[some]) - (running - chance)
+        self.until[self.edge[some]] = 2.0  # whatever rounding has left
+        self.final = self.edge + self.degree - 1
 
     def draw(self, node: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path from each node to the last of its unit: edges one after the other, their number and log-probability."""
@@ -221,11 +227,11 @@ class Lattice:
         now, current = np.flatnonzero(node != last), node.copy()
         steps = []
         while len(now):
-            edge = self.edge[current[now]]
+            edge = self.final[current[now]]
             u = _uniform(seed[now] + np.uint64(len(steps) * 0xD1342543DE82EF95 % 2**64))
             todo = np.arange(len(now))
             while len(todo := todo[u[todo] > self.until[edge[todo]]]):
-                edge[todo] += 1
+                edge[todo] -= 1
             steps.append((now, edge))
             count[now] += 1
             log[now] += self.log[edge]
