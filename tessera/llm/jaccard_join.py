@@ -15,7 +15,7 @@ Classes that share a signature meet in its bucket.  Not all pairs of a bucket ar
 looked at: first each member is compared with the bucket's pivot, and the links
 found make components; then only pairs of different components remain.  These
 are made directly in small buckets, and in large ones block by block within a
-task.  A parity sketch of each set, whose differing bits are at most the sets'
+task, which returns only links that join components.  A parity sketch of each set, whose differing bits are at most the sets'
 differing tokens, drops pairs that cannot link; the rest are verified on whole
 sets.  Every link between different sets either is found or joins classes that
 are in one component already.
@@ -236,9 +236,9 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (u, v) that link, by whole sets; these are read from the texts of the classes that occur in pairs."""
-    wanted = pairs.sparkSession.sparkContext.broadcast(bit_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
+def _sets_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """cls and tokens of the wanted classes (a column cls), and of a few others, read from the texts once more."""
+    wanted = classes.sparkSession.sparkContext.broadcast(bit_table(classes, "cls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -255,52 +255,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), kernel.lists(np.concatenate([np.zeros(0, np.uint64), *sets]), at)], names=["cls", "tokens"])
 
-    sets = persisted(docs.select("text").mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+    return persisted(docs.select("text").mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (u, v) that link, by whole sets."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), docs, s)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(100 * common >= s.percent * (F.size("ta") + F.size("tb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _across(rows: DataFrame, sizes: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different roots in large buckets that sketches allow, compared block by block."""
-    blocks = sizes.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    own = rows.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # A row goes to each pair of blocks that its own is in; a bucket of one block is a pair with itself.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = own.withColumn("other", other).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "root")
-    own = own.join(sketches, "cls").select("sig", "x", "y", "block", "cls", "root", "n", "sketch")
-
-    def compare(left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
-        out = []
-        for wl, (cl, rl, nl, bl) in left.items():
-            for wr, (cr, rr, nr, br) in right.items():
-                if same and wl > wr:
-                    continue
-                width = min(wl, wr)
-                fl, fr = _fold(bl, width), _fold(br, width)
-                for i in range(len(cl)):
-                    may = (rr != rl[i]) & (100 * np.minimum(nr, nl[i]) >= s.percent * np.maximum(nr, nl[i]))
-                    spot = np.flatnonzero(may)
-                    if len(spot):
-                        differing = np.bitwise_count(fr[spot].view(np.uint64) ^ fl[i].view(np.uint64)).sum(axis=1, dtype=np.int64)
-                        spot = spot[may_link(nl[i], nr[spot], differing, s.percent)]
-                        out += [(min(int(cl[i]), int(c)), max(int(cl[i]), int(c))) for c in cr[spot]]
-        return out
-
-    def by_width(table: pa.Table) -> dict:
-        raw = table.column("sketch").to_pylist()
-        width = np.array([len(b) for b in raw])
-        cls, root, n = (np.asarray(table.column(c)) for c in ("cls", "root", "n"))
-        return {int(w): (cls[m], root[m], n[m], np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(m)), np.uint8).reshape(-1, w)) for w in np.unique(width) for m in [width == w]}
+class _Roots:
+    """Components of the members of a block, as they grow together."""
+
+    def __init__(self, roots: np.ndarray) -> None:
+        _, self.of = np.unique(roots, return_inverse=True)
+
+    def join(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
+
+
+def spanning_links(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of left and of right (places) that join what was apart; roots tells what is together already."""
+    n = np.array([len(x) for x in sets])
+    width = 1 << max(6, min(13, int(16 * n.max()).bit_length()))
+    sketches = np.zeros((len(sets), width // 8), np.uint8)
+    for i, x in enumerate(sets):
+        sketches[i] = np.packbits((np.bincount((x >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little")
+    sketches = sketches.view(np.uint64)
+    together, out = _Roots(roots), []
+    for i in left.tolist():
+        spot = right[(together.of[right] != together.of[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if not len(spot):
+            continue
+        differing = np.bitwise_count(sketches[spot] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        for j in spot[may_link(n[i], n[spot], differing, percent)].tolist():
+            if together.of[i] == together.of[j]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (n[i] + n[j] - common):
+                together.join(i, j)
+                out.append((i, j))
+    return out
+
+
+def _across(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (u, v) between different roots in large buckets.
+
+    Buckets of one pivot, which mostly hold the same classes, are one group (grp,
+    cls, root); its members are dealt into blocks, and each pair of blocks is
+    compared in one task, which returns only links that join what is apart.
+    """
+    rows = persisted(rows.distinct(), "groups")
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    own = rows.join(sizes.select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "grp")
+    own = persisted(own.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "blocks")
+    sets = _sets_of(own.select("cls"), docs, s)
+    # A row goes to each pair of blocks that its own is in; a group of one block is a pair with itself.
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "root").join(sets, "cls")
 
     def run(table: pa.Table) -> pa.Table:
-        block, x, y = np.asarray(table.column("block")), table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        left = by_width(table.filter(pa.array(block == x)))
-        right = left if x == y else by_width(table.filter(pa.array(block == y)))
-        found = sorted(set(compare(left, right, x == y)))
-        return pa.table([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        block, cls = np.asarray(table.column("block")), np.asarray(table.column("cls"))
+        tokens = table.column("tokens").combine_chunks()
+        flat, at = np.asarray(tokens.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(tokens.value_lengths()))])
+        sets_of = [np.sort(flat[at[i] : at[i + 1]]) for i in range(len(cls))]
+        left, right = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("x", "y"))
+        found = spanning_links(sets_of, np.asarray(table.column("root")), left, right, s.percent)
+        return pa.table([pa.array([int(cls[p[i]]) for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return own.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long")
+    return own.select("grp", "x", "y", "block", "cls", "root", "tokens").groupBy("grp", "x", "y").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,9 +361,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     few = rooted.where(F.col("members") <= SMALL)
     left, right = few.select("sig", F.col("cls").alias("a"), "n", F.col("root").alias("ra")), few.select("sig", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
     direct = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    large = _across(rooted.where(F.col("members") > SMALL).drop("members", "n"), sizes.where(F.col("members") > SMALL), sketches, s)
-    rest = persisted(_sketched(direct, sketches, s).union(large).distinct(), "rest-pairs")
-    more = persisted(_verified(rest, docs, s), "links")
+    rest = persisted(_sketched(direct, sketches, s), "rest-pairs")
+    grouped = rooted.where(F.col("members") > SMALL).join(pivots, "sig").select(F.col("a").alias("grp"), "cls", "root")
+    more = persisted(_verified(rest, docs, s).union(_across(grouped, docs, s)), "links")
 
     whole = components(links.union(more)).withColumnRenamed("node", "cls")
     placed = own.select("id", "n", "cls").join(whole, "cls", "left").select("id", "n", "cls", F.coalesce("root", "cls").alias("root"))
