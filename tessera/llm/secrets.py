@@ -35,6 +35,8 @@ from tessera.llm.common import bounded_batches
 
 KINDS = ("assign", "access", "hex")
 MIN_LENGTH, LONG_LENGTH, LEAST = 12, 24, 10
+#: The ratio per character that a candidate must reach in any case.
+LEAST_RATIO = 0.35
 
 
 @dataclass(frozen=True)
@@ -228,10 +230,11 @@ def learn(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
     model = Model(formats, Automaton(plain, settings.alpha) if plain else None, math.inf)
     if not formats:
         return model
-    # Ordinary candidates must stay below, and so must fabricated ordinary words, where the sample has few.
+    # Ordinary candidates must stay below; too few of them tell nothing of so small a share.
     ordinary = sorted((max(a.log_likelihood(s) for a in formats.values()) - (model.background.log_likelihood(s) if model.background else 0) for s in plain), reverse=True)
-    edge = ordinary[int(len(ordinary) * settings.false_share)] if ordinary else 0.0
-    return Model(formats, model.background, max(0.35, edge + 0.05))
+    allowed = int(len(ordinary) * settings.false_share)
+    edge = ordinary[allowed] if allowed else 0.0
+    return Model(formats, model.background, max(LEAST_RATIO, edge + 0.05))
 
 
 def added_spans(text: str, found: list[tuple[int, int]], base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:

@@ -22,7 +22,9 @@ Randomness comes from the row's key (a hash of its id), the unit and the round,
 so results don't depend on how rows are dealt out.
 
 Edge cases: a null or empty text has one segmentation, without ids.  A text with
-fewer than k segmentations gives them all, with inclusion score 1.  Decoding
+fewer than k segmentations gives them all, with inclusion score 1; of a unit
+whose other segmentations have a chance below e ** -34 together, which doubles
+can't tell from none, they are not drawn.  Decoding
 gives the text back exactly, but for U+2581, which the vocabulary's spaces use,
 and null, which comes back empty.  Equal rows give equal results.
 """
@@ -323,7 +325,7 @@ def search(lattice: Lattice, keys: np.ndarray, settings: Settings) -> list[_Sear
         start = np.array([popped[t][5] for t in live])
         running = np.cumsum(log)
         before = running - log
-        before = before - (before[head] if len(before) else before)[row] + start[row] if len(row) else before
+        before = before - before[head[row]] + start[row]
         value = np.array([popped[t][0] for t in live])
         # Of each unit, all other paths together.
         with np.errstate(divide="ignore"):

@@ -22,11 +22,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _table(keep) -> np.ndarray:
-    """Byte class table: 0 for separators, else the byte with A-Z lower-cased."""
+    """Byte class table: 0 for separators, else the byte with A-Z lower-cased (255 for NUL)."""
     out = np.zeros(256, np.uint8)
     for b in range(256):
         if keep(b):
-            out[b] = b + 32 if 65 <= b <= 90 else b
+            out[b] = b + 32 if 65 <= b <= 90 else b or 255  # a NUL within a word; UTF-8 has no byte 255
     return out
 
 

@@ -1,0 +1,347 @@
+"""Personal data, secrets, quality, language and segmentation."""
+
+import collections
+import math
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessera.llm import language, pii, quality, queries, secrets, segment
+from tessera.llm import text as kernel
+
+DOCS = "doc_id long, text string"
+
+# Personal data
+
+_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    out = []
+    for kind, pattern in _PII.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab19.@+ -()é", max_size=60))
+def test_base_pii_equals_patterns(text):
+    assert pii.base_spans(text) == brute_pii(text)
+
+
+def test_cards():
+    assert pii.base_spans("4111 1111 1111 1111 x 4111-1111-1111-1112") == [("card", 0, 19)]
+
+
+def test_field_finds_held_out_entities():
+    field = pii.trained()
+    hit = missed = wrong = 0
+    for text, truth in pii.generated(300, 99):
+        base = pii.base_spans(text)
+        got = set(pii.added_spans(text, base, field))
+        truth = {t for t in truth if not any(s < t[2] and t[1] < e for _, s, e in base)}
+        hit, missed, wrong = hit + len(got & truth), missed + len(truth - got), wrong + len(got - truth)
+    assert hit / (hit + missed) > 0.9
+    assert hit / (hit + wrong) > 0.9
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ab 19.[]()dotat-", max_size=50))
+def test_decoding_is_the_best_segmentation(text):
+    field = pii.trained()
+    for group in pii.windows(pii.candidates(text)):
+        if len(group) > 7:
+            continue
+        scores = field._scores(group)
+        best = 0.0
+
+        def extend(last, kind, total):
+            nonlocal best
+            best = max(best, total)
+            for i, c in enumerate(group):
+                if last is None or c.start >= group[last].end:
+                    for k in range(4):
+                        extend(i, k, total + scores[i, k] + field.pairs[4 if kind is None else kind, k])
+
+        if len(group) <= 5:
+            extend(None, None, 0.0)
+            spans = field.decode(group)
+            place = {(c.start, c.end): i for i, c in enumerate(group)}
+            total, before = 0.0, 4
+            for kind, s, e in spans:
+                k = pii.KINDS.index(kind)
+                total, before = total + scores[place[s, e], k] + field.pairs[before, k], k
+            assert total == pytest.approx(best)
+
+
+def test_pii_rows(spark):
+    rows = [(1, "é a@b.co, +1 (886) 555-7964 and 10.0.0.1"), (2, None), (3, ""), (4, "x " * 100_000 + "a@b.c"), (4, "call (555) 123-4567 now"), (5, "me at home dot com"), (6, "1" * 60_000), (7, "a" * 100_000 + "@")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"base": F.lit(1), "id": F.lit("x")})
+    got = pii.find(df).collect()
+    assert [r.doc_id for r in got] == [1, 2, 3, 4, 4, 5, 6, 7]
+    assert [tuple(s) for s in got[0].base] == brute_pii(rows[0][1])
+    assert ("phone", 5, 19) in [tuple(s) for s in got[4].added]
+    assert [tuple(s) for s in got[5].added] == [("email", 0, 18)]
+    assert all(not r.added for r in got[:4])
+    assert pii.find(df.limit(0)).count() == 0
+    digest = queries._span_digest(pii.find(spark.createDataFrame(rows, DOCS)), pii.KINDS, by_start=False).where("doc_id = 1").first()
+    assert digest.spans == "email:2:8,ip:32:40,phone:10:27"
+    assert (digest.n_email, digest.n_ip, digest.n_card, digest.n_phone) == (1, 1, 0, 1)
+
+
+# Secrets
+
+
+def brute_secrets(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 8:
+            out.append(("assign", m.start(), m.end()))
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["TOKEN", "api_key", "Apikey", "passWord", '"', "'", " ", "=", ":", "abc123def", "AKIA", "X9Z", "0123456789abcdef", "é", "ſ", "-"]), max_size=14).map("".join))
+def test_base_secrets_equal_patterns(text):
+    assert secrets.base_spans(text) == brute_secrets(text)
+
+
+def test_automaton_learns_a_format():
+    rng = random.Random(1)
+    make = lambda: "ab-" + "".join(rng.choice("0123456789") for _ in range(6))
+    a = secrets.Automaton([secrets.classes(make()) for _ in range(300)], 0.05)
+    assert len(a.next) <= 12
+    score = lambda s: a.log_likelihood(secrets.classes(s))
+    assert min(score(make()) for _ in range(50)) > max(score("zz-12345x"), score("123456-ab"), score("abcdefghi"))
+    mass = [sum(c.values()) for c in a.count]
+    assert sum(c.get("$", 0) for c in a.count) == 300
+    assert mass[0] >= 300
+
+
+def test_secrets_beyond_the_patterns(spark):
+    rng = random.Random(2)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    words = lambda: " ".join("".join(rng.choice("abcdeinorst") for _ in range(rng.randint(3, 14))) for _ in range(30))
+    rows = [(i, f"{words()} password={hexa(24)} {words()} 2024-01-{i % 28 + 1:02d}T00:00") for i in range(200)]
+    bare = hexa(24)
+    rows += [(1000, f"é {bare} end"), (1001, None), (1002, ""), (1003, words()), (1003, words()), (1004, "a" * 100_000)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("base", F.lit(1))
+    model = secrets.learn(df)
+    got = {r.doc_id: r for r in secrets.find(df, model).collect()}
+    assert [tuple(s) for s in got[1000].added] == [("assign", 2, 26)]
+    assert all(not r.added for d, r in got.items() if d != 1000)
+    assert all([tuple(s) for s in got[d].base] == brute_secrets(t or "") for d, t in rows if d < 1003)
+    none = secrets.learn(df.limit(0))
+    assert none.formats == {}
+    assert secrets.find(df.where("doc_id = 1000"), none).first().added == []
+    assert secrets.find(df.limit(0), model).count() == 0
+
+
+# Quality
+
+
+def test_quality_separates_and_calibrates(spark):
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(["the", "and", "of", "river", "stone", "walks", "slowly"]) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["CLICK!!", "buy***", "the$$", "win###", "the"]) for _ in range(60))
+    rows = [(i, good() if i % 5 else bad()) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 400, 2)] + [(9999, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.with_scores(docs, model).collect()}
+    assert all(0 <= s <= 1 for s in got.values())
+    assert all((got[i] >= 0.7) == (i % 5 > 0) for i in range(400))
+    extra = docs.withColumn("score", F.lit("own"))
+    kept = quality.accepted(extra, model)
+    assert kept.columns == ["doc_id", "text", "score"]
+    assert {(r.doc_id % 5 > 0, r.score) for r in kept.collect()} == {(True, "own")}
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 200_000), (3, "y z"), (None, "a")], DOCS)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(docs, none)
+    assert [r.score for r in quality.with_scores(docs, model).collect()] == [0.5] * 5
+    ones = spark.createDataFrame([(3, 1), (3, 1)], "doc_id long, quality int")
+    assert quality.fit(docs, ones).shift > 0
+    assert quality.with_scores(docs.limit(0), model).count() == 0
+
+
+def test_descent_solves_the_dual():
+    rng = np.random.default_rng(0)
+    n, width = 40, 30
+    rows = [np.unique(rng.integers(width, size=6)) for _ in range(n)]
+    label = (rng.random(n) < 0.5).astype(int)
+    scale = rng.normal(size=quality.BUCKETS)
+    s = quality.Settings(cost=0.5, epochs=300)
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    w, b = quality.descend(at, np.concatenate(rows), scale, label, s)
+
+    def objective(w, b):
+        sign = np.where(label == 1, 1, -1)
+        x = [scale[r] / np.sqrt((scale[r] ** 2).sum() + quality.RIDGE) for r in rows]
+        slack = [max(0, 1 - sign[i] * (w[rows[i]] @ x[i] + b)) for i in range(n)]
+        return 0.5 * (w @ w + b * b) + s.cost * sum(slack)
+
+    best = objective(w, b)
+    for _ in range(200):
+        step = rng.normal(size=quality.BUCKETS) * 1e-3
+        step[width:] = 0
+        assert objective(w + step, b + rng.normal() * 1e-3) >= best - 1e-6
+
+
+# Language
+
+
+def _speaker(alphabet, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    return lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_languages(spark):
+    speak = {"aa": _speaker("abcdé", 1), "bb": _speaker("abcdö", 2), "cc": _speaker("日本語", 3)}
+    rows = [(i, speak[lang](40), lang) for i in range(300) for lang in [sorted(speak)[i % 3]]]
+    rows += [(1000, None, "aa"), (1001, "123 !?", "aa"), (1002, "", None), (1003, speak["bb"](5), None), (1004, "ÉÉ", None), (1005, speak["cc"](30_000), None), (0, rows[0][1], "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language.fit(docs)
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language.predict(docs, model).collect()]
+    truth = dict((i, lang) for i, _, lang in rows)
+    assert all(p == truth[i] for i, p, _ in got if i < 1000)
+    by = {i: (p, s) for i, p, s in got}
+    assert by[1000] == by[1001] == by[1002] == ("und", 0.0)
+    assert (by[1003][0], by[1005][0]) == ("bb", "cc")
+    assert all(0 <= s <= 1 for _, _, s in got)
+    assert language.predict(docs.limit(0), model).count() == 0
+    empty = language.fit(docs.limit(0))
+    assert {r.lang_pred for r in language.predict(docs, empty).collect()} == {"und"}
+
+
+def test_counts_cover_every_training_text(spark):
+    rows = [(i, "Ab, ba" if i % 2 else "ab", "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.gram: r.n for r in language.count_grams(docs, 3).collect()}
+    assert got == {" ab": 20, "ab ": 20, "b b": 10, " ba": 10, "ba ": 10}
+
+
+def test_probabilities_are_interpolated_kneser_ney():
+    counts = {"x": {"aab": 3, "aac": 1, "bab": 2, "cab": 1}}
+    p = language.smooth(counts, 3)
+    cut = 2 / (2 + 2 * 1)
+    second = p[1]["x"]["ab"]
+    assert p[2]["x"]["aab"] == pytest.approx((3 - cut) / 4 + cut * 2 / 4 * second)
+    # The lower orders count contexts: `ab` follows three, `ac` one.
+    assert second == pytest.approx((3 - 0.5) / 4 + 0.5 * 2 / 4 * p[0]["x"]["b"])
+
+
+def test_lookup_finds_every_hash():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**63, size=5000, dtype=np.uint64) << np.uint64(1))
+    lookup = language._Lookup(keys)
+    assert (lookup.find(keys) == np.arange(len(keys))).all()
+    assert (lookup.find(keys ^ np.uint64(1)) == -1).all()
+    assert (language._Lookup(np.zeros(0, np.uint64)).find(keys[:3]) == -1).all()
+
+
+# Segmentation
+
+VOCAB = segment.vocabulary(segment.MODEL_FILE, 0.7)
+
+
+def sampled(texts, samples=3, keys=None):
+    out = []
+    keys = np.arange(len(texts), dtype=np.uint64) if keys is None else keys
+    for first, end, raw, offsets in kernel.slices(pa.array(texts, pa.string()), segment.SLICE_BYTES):
+        points, at = segment.marked(raw, offsets)
+        lattice = segment.Lattice(points, at, VOCAB)
+        for s in segment.search(lattice, keys[first:end], segment.Settings(samples=samples)):
+            ids, n = segment._ids(lattice, [p.edges for p in s.paths], VOCAB)
+            cut = np.concatenate([[0], np.cumsum(n)])
+            out.append([(ids[cut[i] : cut[i + 1]].tolist(), p.total, p.value, s.queue[0][0] if s.queue else -math.inf) for i, p in enumerate(s.paths)])
+    return out
+
+
+def segmentations(text):
+    marked = "▁" + text.replace(" ", "▁")
+    ids = {p: i for i, p in enumerate(VOCAB.pieces) if not VOCAB.is_byte[i]}
+    found = []
+
+    def extend(at, path, weight):
+        if at == len(marked):
+            found.append((tuple(path), weight))
+        for end in range(at + 1, min(len(marked), at + 16) + 1):
+            if (i := ids.get(marked[at:end])) is not None:
+                extend(end, [*path, i], weight + VOCAB.log_weight[i])
+
+    extend(0, [], 0.0)
+    total = np.logaddexp.reduce([w for _, w in found])
+    return {p: math.exp(w - total) for p, w in found}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_characters="▁", exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=5))
+def test_round_trip(texts):
+    for text, samples in zip(texts, sampled(texts), strict=True):
+        assert samples
+        assert all(segment.decode_ids(ids, VOCAB) == text for ids, *_ in samples)
+        assert len({tuple(ids) for ids, *_ in samples}) == len(samples)
+        assert [v for _, _, v, _ in samples] == sorted((v for _, _, v, _ in samples), reverse=True)
+
+
+def test_sampling_follows_the_distribution_without_replacement():
+    p = segmentations("ab cat")
+    n = 12_000
+    got = sampled(["ab cat"] * n, keys=np.arange(n, dtype=np.uint64) * np.uint64(7919))
+    first = collections.Counter(tuple(s[0][0]) for s in got)
+    second = collections.Counter(tuple(s[1][0]) for s in got)
+    want = collections.defaultdict(float)
+    for a, pa_ in p.items():
+        for b, pb in p.items():
+            want[b] += pa_ * pb / (1 - pa_) if a != b else 0
+    for counted, share in ((first, p), (second, want)):
+        for path, q in share.items():
+            assert abs(counted[path] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-9
+    assert all(s[0][1] == pytest.approx(math.log(p[tuple(s[0][0])])) for s in got[:200])
+    # Samples weighted by their inclusion estimate sums without bias.
+    total = np.mean([sum(p[tuple(ids)] / -math.expm1(-math.exp(log - next_)) for ids, log, _, next_ in s) for s in got])
+    assert total == pytest.approx(1, abs=0.01)
+
+
+def test_few_segmentations_come_whole():
+    (only,) = sampled(["a"], samples=5)
+    assert sorted(tuple(ids) for ids, *_ in only) == sorted(segmentations("a"))
+    assert only[0][3] == -math.inf
+
+
+def test_encode_and_decode_rows(spark):
+    rows = [(1, "Hello  world"), (2, None), (3, ""), (4, "é日\n" * 30_000), (5, "x" * 20_000), (1, "Hello  world"), (None, "Hello  world")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit("clash"), "samples": F.lit(1)})
+    got = segment.encode(df).collect()
+    assert [r.doc_id for r in got] == [r[0] for r in rows]
+    assert got[0] == got[5]
+    assert [len(r.samples) for r in got] == [3, 1, 1, 2, 3, 3, 3]  # only its first character can be cut in two ways
+    assert (got[2].samples[0].ids, got[2].samples[0].inclusion) == ([], 1.0)
+    assert all(0 <= s.inclusion <= 1 for r in got for s in r.samples)
+    again = segment.encode(df.repartition(5)).where("doc_id = 1").collect()
+    assert again[0] == got[0]
+    each = segment.encode(df).select("doc_id", F.explode("samples").alias("s")).select("doc_id", "s.ids", F.lit(0).alias("text"))
+    texts = {(r.doc_id, r.text) for r in segment.decode(each).collect()}
+    assert texts == {(i, t or "") for i, t in rows}
+    assert segment.encode(df.limit(0)).count() == 0
+    assert segment.decode(spark.createDataFrame([(None,)], "ids array<int>")).first().text is None
