@@ -47,7 +47,7 @@ from tessera.llm.common import bounded_batches
 #: The file of the vocabulary; it must be readable at this path on every executor.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -147,35 +147,77 @@ def marked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Lattice:
-    """The lattices of the distinct units of a slice, end to end.
+    """The lattices of distinct units, end to end; take() adds those of a slice's texts.
 
     Edges are sorted by their start node: dst, piece (below 0 for the bytes of
-    the character -1 - piece) and log, the log-probability given the start node.
+    the character -1 - piece), log, the log-probability given the start node, and
+    until, the probability of the edge and those after it.  Long pieces, the
+    likeliest, come last and are tried first.
     """
 
-    def __init__(self, points: np.ndarray, at: np.ndarray, vocab: Vocabulary) -> None:
+    #: Edges from which the lattice is emptied before it takes another slice.
+    MOST_EDGES = 3_000_000
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._sizes: dict[str, int] = {}
+        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("edge", np.int64), ("degree", np.int32), ("src", np.int32), ("dst", np.int32), ("piece", np.int32), ("log", np.float64), ("until", np.float64)):
+            setattr(self, name, np.zeros(1024, kind))
+            self._sizes[name] = 0
+
+    def _append(self, name: str, values: np.ndarray) -> None:
+        own, size = getattr(self, name), self._sizes[name]
+        if size + len(values) > len(own):
+            wider = np.zeros(max(2 * len(own), size + len(values)), own.dtype)
+            wider[:size] = own[:size]
+            setattr(self, name, own := wider)
+        own[size : size + len(values)] = values
+        self._sizes[name] = size + len(values)
+
+    def take(self, points: np.ndarray, at: np.ndarray) -> None:
+        """Sets unit, the unit of each place of the texts, and units_of, the units of each text."""
+        if self._sizes["dst"] > self.MOST_EDGES:
+            self._empty()
         n = len(points)
         space = points == SPACE
         start = np.zeros(n, bool)
-        if n and not vocab.crossing:
+        if n and not self.vocab.crossing:
             start[1:] = space[1:] & ~space[:-1]
         start[at[:-1][np.diff(at) > 0]] = True
         first = np.flatnonzero(start)
         length = np.diff(np.append(first, n))
-        self.units_of = np.diff(np.searchsorted(first, at))  # units of each text
+        self.units_of = np.diff(np.searchsorted(first, at))
         up, down = kernel._power(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(kernel.mix(points.astype(np.uint64) + np.uint64(7)) * up[:n], out=total[1:])
         key = kernel.mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
-        _, where, self.unit = np.unique(key, return_index=True, return_inverse=True)
-        length = length[where]
-        chars = points[_ranges(first[where], length)]
-        self.first_node = np.concatenate([[0], np.cumsum(length + 1)])
-        self.last_node = self.first_node[1:] - 1
-        m = len(chars)
+        own, where, unit = np.unique(key, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool)
+        inside = spot < len(self.keys)
+        known[inside] = self.keys[spot[inside]] == own[inside]
+        place = np.full(len(own), -1, np.int64)
+        place[known] = self.places[spot[known]]
+        new = np.flatnonzero(~known)
+        place[new] = self._sizes["first_node"] + np.arange(len(new))
+        if len(new):
+            self._build(points[_ranges(first[where[new]], length[where[new]])], length[where[new]])
+            keys, places = np.concatenate([self.keys, own[new]]), np.concatenate([self.places, place[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.places = keys[order], places[order]
+        self.unit = place[unit]
+
+    def _build(self, chars: np.ndarray, length: np.ndarray) -> None:
+        """Adds the lattices of units whose characters stand one after the other."""
+        vocab, m = self.vocab, len(chars)
+        node_at = np.concatenate([[0], np.cumsum(length + 1)])
         unit_of = np.repeat(np.arange(len(length)), length)
         node_of = np.arange(m) + unit_of
-        rest = self.last_node[unit_of] - node_of  # characters from here to the unit's end
+        rest = node_at[1:][unit_of] - 1 - node_of  # characters from here to the unit's end
 
         found = np.full((m, vocab.longest), -1, np.int32)
         todo, h = np.arange(m), np.zeros(m, np.uint64)
@@ -190,18 +232,18 @@ class Lattice:
         alone = found[:, 0] < 0
         found[alone, 0] = 0  # a place for the bytes
         flat = found.ravel()
-        pos = np.flatnonzero(flat >= 0)
-        self.piece = flat[pos].astype(np.int64)
-        pos, size = np.divmod(pos, vocab.longest) if vocab.longest & (vocab.longest - 1) else (pos >> (vocab.longest.bit_length() - 1), pos & (vocab.longest - 1))
-        log = vocab.log_weight[self.piece]
+        spot = np.flatnonzero(flat >= 0)
+        piece = flat[spot].astype(np.int64)
+        pos, size = np.divmod(spot, vocab.longest)
+        log = vocab.log_weight[piece]
         own = alone[pos] & (size == 0)
-        self.piece[own] = -1 - chars[pos[own]].astype(np.int64)
+        piece[own] = -1 - chars[pos[own]].astype(np.int64)
         wide = chars[pos[own]]
         log[own] = vocab.byte_weight * (1 + (wide >= 0x80) + (wide >= 0x800) + (wide >= 0x10000))
-        self.src, self.dst = node_of[pos], node_of[pos] + size + 1
-        nodes = int(self.first_node[-1])
-        self.degree = np.bincount(self.src, minlength=nodes)
-        self.edge = np.cumsum(self.degree) - self.degree
+        src, dst = node_of[pos], node_of[pos] + size + 1
+        nodes = int(node_at[-1])
+        degree = np.bincount(src, minlength=nodes)
+        edge = np.cumsum(degree) - degree
 
         back = np.zeros(nodes)
         most = int(rest.max(initial=0))
@@ -210,17 +252,18 @@ class Lattice:
         for d in range(len(cuts) - 1):
             level = node_of[order[cuts[d] : cuts[d + 1]]]
             if len(level):
-                edges = _ranges(self.edge[level], self.degree[level])
-                back[level] = np.logaddexp.reduceat(log[edges] + back[self.dst[edges]], np.cumsum(self.degree[level]) - self.degree[level])
-        self.log = np.minimum(log + back[self.dst] - back[self.src], 0.0)
-        # until: the chance of an edge and those after it; long pieces, the likeliest, come last and are tried first.
-        chance = np.exp(self.log)
+                edges = _ranges(edge[level], degree[level])
+                back[level] = np.logaddexp.reduceat(log[edges] + back[dst[edges]], np.cumsum(degree[level]) - degree[level])
+        log = np.minimum(log + back[dst] - back[src], 0.0)
+        chance = np.exp(log)
         running = np.cumsum(chance)
-        some = self.degree > 0
-        ends = (self.edge + self.degree - 1)[some]
-        self.until = np.repeat(running[ends], self.degree[some]) - (running - chance)
-        self.until[self.edge[some]] = 2.0  # whatever rounding has left
-        self.final = self.edge + self.degree - 1
+        some = degree > 0
+        until = np.repeat(running[(edge + degree - 1)[some]], degree[some]) - (running - chance)
+        until[edge[some]] = 2.0  # whatever rounding has left
+
+        node, first = int(self._sizes["edge"]), int(self._sizes["dst"])
+        for name, values in (("first_node", node_at[:-1] + node), ("last_node", node_at[1:] - 1 + node), ("edge", edge + first), ("degree", degree), ("src", src + node), ("dst", dst + node), ("piece", piece), ("log", log), ("until", until)):
+            self._append(name, values)
 
     def draw(self, node: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path from each node to the last of its unit: edges one after the other, their number and log-probability."""
@@ -229,7 +272,7 @@ class Lattice:
         now, current = np.flatnonzero(node != last), node.copy()
         steps = []
         while len(now):
-            edge = self.final[current[now]]
+            edge = self.edge[current[now]] + self.degree[current[now]] - 1
             u = _uniform(seed[now] + np.uint64(len(steps) * 0xD1342543DE82EF95 % 2**64))
             todo = np.arange(len(now))
             while len(todo := todo[u[todo] > self.until[edge[todo]]]):
@@ -270,7 +313,7 @@ class _Search:
         self.queue: list[tuple] = []  # (value, path, unit, edges kept of the unit, edge or None, log-probability up to there)
 
 
-def _expand(search: _Search, node: tuple, lattice: Lattice, units: np.ndarray, seed: np.uint64) -> tuple:
+def _expand(search: _Search, node: tuple, lattice: Lattice, seed: np.uint64) -> tuple:
     """Splits `all other paths of this unit` into the edges beside the path; one of them inherits the value."""
     value, at, unit, kept, _, before = node
     path = search.paths[at]
@@ -373,7 +416,7 @@ def search(lattice: Lattice, keys: np.ndarray, settings: Settings) -> list[_Sear
             if turn + 1 < k and s.queue:
                 node_ = s.queue.pop(0)
                 if node_[4] is None:
-                    node_ = _expand(s, node_, lattice, lattice.unit[unit_at[t] : unit_at[t + 1]], kernel.mix(seeds[t : t + 1] + np.uint64(turn * 64 + 9))[0])
+                    node_ = _expand(s, node_, lattice, kernel.mix(seeds[t : t + 1] + np.uint64(turn * 64 + 9))[0])
                     s.queue.sort(key=lambda x: -x[0])
                 popped[t] = node_
     return searches
@@ -388,11 +431,12 @@ def encode(docs: DataFrame, settings: Settings | None = None, model_file: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file, settings.alpha)
+        lattice = Lattice(vocab)
         for batch in batches:
             keys = np.asarray(batch.column(1)).view(np.uint64)
             for first, end, raw, offsets in kernel.slices(batch.column(2), SLICE_BYTES):
                 points, at = marked(raw, offsets)
-                lattice = Lattice(points, at, vocab)
+                lattice.take(points, at)
                 found = search(lattice, keys[first:end], settings)
                 paths = [p for s in found for p in s.paths]
                 ids, lengths = _ids(lattice, [p.edges for p in paths], vocab)
@@ -410,7 +454,7 @@ def encode(docs: DataFrame, settings: Settings | None = None, model_file: str =
 def _ids(lattice: Lattice, paths: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all paths, one after the other, and their number by path."""
     lengths = np.array([len(p) for p in paths], np.int64)
-    piece = lattice.piece[np.concatenate([np.zeros(0, np.int64), *paths])]
+    piece = lattice.piece[np.concatenate([np.zeros(0, np.int64), *paths])].astype(np.int64)
     odd = np.flatnonzero(piece < 0)
     if not len(odd):
         return piece, lengths

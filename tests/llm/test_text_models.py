@@ -265,11 +265,11 @@ VOCAB = segment.vocabulary(segment.MODEL_FILE, 0.7)
 
 
 def sampled(texts, samples=3, keys=None):
-    out = []
+    out, lattice = [], segment.Lattice(VOCAB)
     keys = np.arange(len(texts), dtype=np.uint64) if keys is None else keys
     for first, end, raw, offsets in kernel.slices(pa.array(texts, pa.string()), segment.SLICE_BYTES):
         points, at = segment.marked(raw, offsets)
-        lattice = segment.Lattice(points, at, VOCAB)
+        lattice.take(points, at)
         for s in segment.search(lattice, keys[first:end], segment.Settings(samples=samples)):
             ids, n = segment._ids(lattice, [p.edges for p in s.paths], VOCAB)
             cut = np.concatenate([[0], np.cumsum(n)])
