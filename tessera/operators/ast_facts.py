@@ -20,7 +20,9 @@ def last_seen(value: Column, *types: str) -> Column:
 
 
 def scoped(nodes: DataFrame) -> DataFrame:
-    """nodes with package, class, type (class or interface) and method in scope."""
+    """nodes with package, class, type (class or interface) and method in scope; as they are, if they have these."""
+    if "in_package" in nodes.columns:
+        return nodes
     name = F.col("name")
     return nodes.withColumns(
         {
@@ -104,5 +106,8 @@ def register_builder(name: str, builder: Callable[[DataFrame], DataFrame]) -> No
     BUILDERS[name] = builder
 
 
-def facts(nodes: DataFrame) -> dict[str, DataFrame]:
+def facts(nodes: DataFrame, cache: bool = False) -> dict[str, DataFrame]:
+    """All fact tables.  With cache, scopes are found once for all of them, as a whole graph wants."""
+    if cache:
+        nodes = scoped(nodes).cache()
     return {name: builder(nodes) for name, builder in BUILDERS.items()}

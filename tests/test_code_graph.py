@@ -44,7 +44,7 @@ public class Gate {}
 
 def _facts(spark, *sources):
     df = spark.createDataFrame([(f"f{i}", s) for i, s in enumerate(sources)], "path string, content string")
-    return ast_facts.facts(ast_nodes(df))
+    return ast_facts.facts(ast_nodes(df), cache=True)
 
 
 def _rows(df, *columns):
