@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import text as kernel
 from tessera.llm.common import bounded_batches, persisted
 
 MAX_CENTROIDS = 512
@@ -155,7 +156,7 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
             own = cells(*centroids.value, _matrix(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column(1), batch.column(0)], names=["cell", "ids", "vector"])
 
-    placed = persisted(found.mapInArrow(place, "cell int, ids array<long>, vector array<double>"), "cells")
+    placed = persisted(found.mapInArrow(kernel.lean(place), "cell int, ids array<long>, vector array<double>"), "cells")
     counts = np.zeros(len(left) * len(right), np.int64)
     for cell, n in placed.groupBy("cell").count().collect():  # MAX_CENTROIDS squared at most
         counts[cell] = n
@@ -167,7 +168,7 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(listed, pa.list_(pa.int32()))], names=["query_id", "vector", "visits"])
 
     asked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & is_query & usable(F.col("vector")) & (F.size("vector") == width["w"])).distinct()
-    visits = asked.select("id", "vector").mapInArrow(walks, "query_id long, vector array<double>, visits array<int>")
+    visits = asked.select("id", "vector").mapInArrow(kernel.lean(walks), "query_id long, vector array<double>, visits array<int>")
 
     groups = max(1, -(-total // s.block))
     of_cell = spark.sparkContext.broadcast(_runs(counts, groups))
@@ -194,12 +195,12 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
                 own = pa.array(row[new[i : i + 4096]])
                 yield pa.RecordBatch.from_arrays([pa.array(run[new[i : i + 4096]]), batch.column(0).take(own), cells_of[i : i + len(own)], batch.column(1).take(own)], names=["run", "query_id", "cells", "vector"])
 
-    held = placed.mapInArrow(to_runs, "run int, part int, cell int, ids array<long>, vector array<double>")
+    held = placed.mapInArrow(kernel.lean(to_runs), "run int, part int, cell int, ids array<long>, vector array<double>")
     held = held.groupBy("run", "part").agg(F.collect_list(F.struct("cell", "ids", "vector")).alias("held"))
     parts = max(1, -(-asked.count() // s.block))
-    wanted = visits.mapInArrow(to_visited_runs, "run int, query_id long, cells array<int>, vector array<double>")
+    wanted = visits.mapInArrow(kernel.lean(to_visited_runs), "run int, query_id long, cells array<int>, vector array<double>")
     wanted = wanted.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(parts))).groupBy("run", "group").agg(F.collect_list(F.struct("query_id", "cells", "vector")).alias("wanted"))
-    met = held.join(wanted, "run").select("held", "wanted").mapInArrow(_reranker(s.k), "query_id long, ids array<long>, scores array<double>")
+    met = held.join(wanted, "run").select("held", "wanted").mapInArrow(kernel.lean(_reranker(s.k)), "query_id long, ids array<long>, scores array<double>")
     pairs = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("score"), i.alias("id")))
     best = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, s.k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("rank", "hit"))

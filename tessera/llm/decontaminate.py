@@ -71,7 +71,7 @@ def item_windows(items: DataFrame, window: int = 10, shingle: int = 5, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item", "words", "size", "tokens"])
 
     out = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
-    return out.mapInArrow(run, "item string, words array<string>, size int, tokens array<long>").distinct()
+    return out.mapInArrow(kernel.lean(run), "item string, words array<string>, size int, tokens array<long>").distinct()
 
 
 def _sizes(windows: DataFrame) -> list[int]:
@@ -97,7 +97,7 @@ def _frequencies(docs: DataFrame, table, sizes: list[int]) -> DataFrame:
             tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "docs"])
 
-    return docs.select("text").mapInArrow(run, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
+    return docs.select("text").mapInArrow(kernel.lean(run), "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
 
 
 def _occurrences(docs: DataFrame, table, sizes: list[int], reach: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _occurrences(docs: DataFrame, table, sizes: list[int], reach: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, kind)], names=["id", "key", "n_words", "hits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, n_words long, hits array<struct<token:long,pos:int,first:int,words:array<string>>>")
+    return docs.select("id", "key", "text").mapInArrow(kernel.lean(run), f"id {kind}, key long, n_words long, hits array<struct<token:long,pos:int,first:int,words:array<string>>>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -127,7 +127,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
                 n = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n)], names=["lang", "gram", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(kernel.lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def smooth(counts: dict[str, dict[str, int]], order: int) -> list[dict[str, dict[str, float]]]:
@@ -301,7 +301,7 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
                 width = len(m.languages)
                 yield pa.RecordBatch.from_arrays([kernel.lists(per.ravel(), np.arange(len(per) + 1) * width, pa.float64()), pa.array(letters_of.astype(np.int64)), batch.column(1)[first:end]], names=["per", "letters", "lang"])
 
-    return rows.mapInArrow(run, "per array<double>, letters long, lang string")
+    return rows.mapInArrow(kernel.lean(run), "per array<double>, letters long, lang string")
 
 
 def predict(docs: DataFrame, model: Model, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,5 +328,5 @@ def predict(docs: DataFrame, model: Model, settings: Settings | None = None, id_
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(names[best], pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], names=["id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(kernel.lean(run), f"id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.withColumnRenamed("id", id_col)

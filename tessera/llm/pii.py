@@ -359,7 +359,7 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
 
     kind = docs.schema[id_col].dataType.simpleString()
     spans = "array<struct<kind:string,start:int,end:int>>"
-    out = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, base {spans}, added {spans}")
+    out = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(kernel.lean(run), f"id {kind}, base {spans}, added {spans}")
     return out.withColumnRenamed("id", id_col)
 
 

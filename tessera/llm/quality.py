@@ -102,7 +102,7 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col: s
                 got, at = indicators(raw, offsets, settings)
                 yield pa.RecordBatch.from_arrays([batch.column(1)[first:end], batch.column(2)[first:end], kernel.lists(got.astype(np.int32), at, pa.int32())], names=["h", "label", "got"])
 
-    table = rows.mapInArrow(run, "h long, label int, got array<int>").toArrow().sort_by("h")
+    table = rows.mapInArrow(kernel.lean(run), "h long, label int, got array<int>").toArrow().sort_by("h")
     listed = table.column(2).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     return np.asarray(table.column(1)), np.concatenate([[0], np.cumsum(np.asarray(listed.value_lengths()))]).astype(np.int64), np.asarray(listed.flatten())
 
@@ -193,7 +193,7 @@ def with_scores(docs: DataFrame, model: Model, settings: Settings | None = None,
             score = pa.array(np.concatenate(scores))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), score], names=[*names, "score"])
 
-    return own.mapInArrow(run, StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())]))
+    return own.mapInArrow(kernel.lean(run), StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())]))
 
 
 def accepted(docs: DataFrame, model: Model, settings: Settings | None = None, text_col: str = "text") -> DataFrame:

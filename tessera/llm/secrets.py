@@ -219,7 +219,7 @@ def learn(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
                             values.append(data[s:e].decode())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
-    found = bounded_batches(own).select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string").distinct()
+    found = bounded_batches(own).select(F.col(text_col).alias("text")).mapInArrow(kernel.lean(run), "kind string, value string").distinct()
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     rows = found.withColumn("rank", rank).where(F.col("rank") <= settings.max_strings).collect()
     strings: dict[str, list[str]] = {}
@@ -273,5 +273,5 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     spans = "array<struct<kind:string,start:int,end:int>>"
-    out = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, base {spans}, added {spans}")
+    out = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(kernel.lean(run), f"id {kind}, base {spans}, added {spans}")
     return out.withColumnRenamed("id", id_col)

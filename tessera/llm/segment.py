@@ -156,7 +156,7 @@ class Lattice:
     """
 
     #: Edges from which the lattice is emptied before it takes another slice.
-    MOST_EDGES = 3_000_000
+    MOST_EDGES = 1_500_000
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -448,7 +448,7 @@ def encode(docs: DataFrame, settings: Settings | None = None, model_file: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("key"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, f"id {kind}, samples {_SAMPLE}").withColumnRenamed("id", id_col)
+    return own.mapInArrow(kernel.lean(run), f"id {kind}, samples {_SAMPLE}").withColumnRenamed("id", id_col)
 
 
 def _ids(lattice: Lattice, paths: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -483,4 +483,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL_FIL
             texts = [None if ids is None else decode_ids(ids, vocab) for ids in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string())], names=[*names, text_col])
 
-    return bounded_batches(encoded).select(*names, F.col(ids_col).alias("__ids")).mapInArrow(run, StructType([*(encoded.schema[c] for c in names), StructField(text_col, StringType())]))
+    return bounded_batches(encoded).select(*names, F.col(ids_col).alias("__ids")).mapInArrow(kernel.lean(run), StructType([*(encoded.schema[c] for c in names), StructField(text_col, StringType())]))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import text as kernel
 from tessera.llm.common import bounded_batches
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,7 +115,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] = RULES, vocabulary: Voc
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "host", "path", "rule", "verdict", "n_strict", "soft_weight"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, n_strict int, soft_weight int")
+    out = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(kernel.lean(run), f"id {kind}, host string, path string, rule string, verdict string, n_strict int, soft_weight int")
     return out.withColumnRenamed("id", id_col)
 
 
