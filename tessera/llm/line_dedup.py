@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import persisted
+
 #: A hot key is dealt over this many windows.
 SALTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +55,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     same = F.lag("g").over(inside).eqNullSafe(F.col("g")) & F.lag("__id").over(inside).eqNullSafe(F.col("__id")) & F.lag(F.lit(1)).over(inside).isNotNull()
     firsts = dealt.select("h", "g", "__id", "pos", (~same).alias("first")).where("first")
     counts = firsts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("__id", "pos")).alias("at"))
-    hit = counts.where(F.col("docs") >= min_docs)
+    # Written out, so that the join deals both its sides anew and can split a hot key, or broadcasts a small table.
+    hit = persisted(counts.where(F.col("docs") >= min_docs), "lines")
     gone = rows.join(hit.select("h", "g", "at"), ["h", "g"])
     if keep_first:
         gone = gone.where(~(F.col("at.__id").eqNullSafe(F.col("__id")) & (F.col("at.pos") == F.col("pos"))))
