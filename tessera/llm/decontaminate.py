@@ -126,7 +126,7 @@ def _occurrences(docs: DataFrame, table, sizes: list[int], reach: int) -> DataFr
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document row: the id, n_words, n_hit, n_items, items (sorted ids as strings) and contaminated."""
+    """A row for each document row: the id, text_hash (that of the text), n_words, n_hit, n_items, items (sorted ids as strings) and contaminated."""
     spark = bounded_batches(docs).sparkSession
     windows = persisted(item_windows(items, window, shingle), "windows")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -157,7 +157,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     out = found.join(named, same("n"), "left").join(covered, same("c"), "left")
     n_hit = F.coalesce("c.n_hit", F.lit(0))
     items_of = F.coalesce("n.items", F.array().cast("array<string>"))
-    return out.select(F.col("f.id").alias(id_col), F.col("f.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("f.id").alias(id_col), F.col("f.key").alias("text_hash"), F.col("f.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that hold no window of an item."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col)
+    gone = persisted(found.where("contaminated").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
 
 
 def oracle(window: int = 10) -> str:

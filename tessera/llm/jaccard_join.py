@@ -117,13 +117,13 @@ def _digests(docs: DataFrame, s: Settings) -> DataFrame:
             tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *pending]), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             none = lambda kind: pa.nulls(len(tokens), kind)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), id_kind), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), id_kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], names=names)
 
-        id_kind, names = None, ["id", "n", "cls", "sketch", "token", "count"]
+        id_kind, names = None, ["id", "key", "n", "cls", "sketch", "token", "count"]
         for batch in batches:
             id_kind = batch.column(0).type
             n, cls, sketches = [], [], []
-            for _, tokens in _sets(batch.column(1), s.shingle):
+            for _, tokens in _sets(batch.column(2), s.shingle):
                 c = class_of(tokens)
                 n.append(len(tokens))
                 cls.append(c)
@@ -133,15 +133,15 @@ def _digests(docs: DataFrame, s: Settings) -> DataFrame:
                         seen.add(c)
                     pending.append(tokens)
                     size += len(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
-            if size > 4_000_000:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+            if size > 2_000_000:
                 yield repeated()
                 pending, size = [], 0
         if size:
             yield repeated()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, cls long, sketch binary, token long, count long")
+    return docs.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(kernel.lean(run), f"id {kind}, key long, n long, cls long, sketch binary, token long, count long")
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, paired: int, percent: int) -> np.ndarray:
@@ -185,7 +185,7 @@ def _postings(docs: DataFrame, order, s: Settings) -> DataFrame:
             lengths = [len(x) for x in sigs[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), lengths)), pa.array(np.repeat(np.array(n, np.int32), lengths))], names=["sig", "cls", "n"])
 
-    return docs.select("text").mapInArrow(run, "sig long, cls long, n int")
+    return docs.select("text").mapInArrow(kernel.lean(run), "sig long, cls long, n int")
 
 
 def _met(postings: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _met(postings: DataFrame) -> DataFrame:
         if held is not None and started:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
-    return postings.mapInArrow(run, "sig long, cls long, n int")
+    return postings.mapInArrow(kernel.lean(run), "sig long, cls long, n int")
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
@@ -233,7 +233,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
             keep = pa.array(may_link(na, nb, differing, s.percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(kernel.lean(run), "a long, b long")
 
 
 def _sets_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -255,7 +255,7 @@ def _sets_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), kernel.lists(np.concatenate([np.zeros(0, np.uint64), *sets]), at)], names=["cls", "tokens"])
 
-    return persisted(docs.select("text").mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+    return persisted(docs.select("text").mapInArrow(kernel.lean(run), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     spark = bounded_batches(docs).sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digests = persisted(_digests(docs, s), "digests")
-    own = digests.where(F.col("n").isNotNull()).select("id", "n", "cls", "sketch")
+    own = digests.where(F.col("n").isNotNull()).select("id", "key", "n", "cls", "sketch")
     # The list is FREQUENT rows at most.
     counted = digests.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
     token, count = np.asarray(counted.column(0)).astype(np.int64).view(np.uint64), np.asarray(counted.column(1)).astype(np.int64)
@@ -365,11 +365,33 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     grouped = rooted.where(F.col("members") > SMALL).join(pivots, "sig").select(F.col("a").alias("grp"), "cls", "root")
     more = persisted(_verified(rest, docs, s).union(_across(grouped, docs, s)), "links")
 
-    whole = components(links.union(more)).withColumnRenamed("node", "cls")
-    placed = own.select("id", "n", "cls").join(whole, "cls", "left").select("id", "n", "cls", F.coalesce("root", "cls").alias("root"))
-    least = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
+    whole = persisted(components(links.union(more)).withColumnRenamed("node", "cls"), "components")
+    placed = own.select("id", "key", "n", "cls").join(whole, "cls", "left").select("id", "key", "n", "cls", F.coalesce("root", "cls").alias("root"))
+    # Written out, so that the join can split a component that holds much of the corpus.
+    least = persisted(placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least")), "least")
     out = placed.join(least, "root", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    some = F.col("n") > 0
+    return out.select(F.col("id").alias(id_col), F.col("key").alias("text_hash"), F.col("n").alias("n_shingles"), "cls", F.when(some, F.col("root")).alias("component"), F.when(some, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that of the smallest id (nulls last; ties by the text's hash), with the columns of docs.
+
+    Rows with empty sets all stay.
+    """
+    found = persisted(near_duplicates(docs, settings, id_col, text_col), "near-duplicates")
+    own = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"))
+    first = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(own).alias("k")).select("k.__id", "k.__hash")
+    empty = found.where(F.col("component").isNull()).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = lambda x, y: (F.col(id_col).eqNullSafe(y["__id"])) & (x == y["__hash"])
+    keep = persisted(first.unionByName(empty).distinct(), "kept")
+    kept = docs.join(keep, same(F.xxhash64(text_col), keep), "left_semi")
+    # Rows that repeat both id and text can't be told apart by a join.
+    twice = persisted(found.where(F.col("component").isNotNull()).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).count().where("count > 1").select("__id", "__hash"), "repeated")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, same(F.xxhash64(text_col), twice), "left_anti")
+    return once.unionByName(kept.join(twice, same(F.xxhash64(text_col), twice), "left_semi").withColumn("__hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__hash"]).drop("__hash"))
 
 
 def oracle(shingle: int = 5, percent: int = 80) -> str:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tessera.llm import segment
+from tessera.llm import decontaminate, jaccard_join, segment
 
 CLEAN = "the and of river stone walks slowly over grass towards evening light".split()
 
@@ -23,9 +23,9 @@ def planted(tmp_path_factory, spark):
     rows += [(320, f"{fresh(30)} {item} {fresh(30)}")]
     rows += [(330 + i, f"{fresh(40)}\n{'shared line of the footer'}") for i in range(12)]
     rows += [(350 + i, "only line that everyone has") for i in range(11)]
-    rows += [(400, "")]
+    rows += [(400, ""), (401, None)]
     folder = tmp_path_factory.mktemp("planted")
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, key int")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(i, int(i < 200), 0) for i in range(0, 260, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -45,16 +45,32 @@ def test_stages(spark, planted, tmp_path):
     assert not any(200 <= i < 260 for i in quality)
     assert all(i in quality for i in [*range(200), 300, 310, 320, 330])
     assert [lines[330 + i].text.count("\n") for i in range(12)] == [1] + [0] * 11
-    assert all(lines[i].n_chars == len(lines[i].text) for i in lines)
+    assert all(lines[i].n_chars == len(lines[i].text or '') for i in lines)
     assert [i for i in lines if 350 <= i < 400] == [350]
-    assert [i for i in joined if 300 <= i < 320] == [300, 310]
+    assert sorted(i for i in joined if 300 <= i < 320) == [300, 310]
     assert set(range(200)) <= set(joined)
     assert 320 in joined
     assert 320 not in clean
     assert set(range(200)) <= set(clean)
     vocab = segment.vocabulary(segment.MODEL_FILE, segment.Settings.alpha)
     assert {r.doc_id for r in encoded} == set(clean)
-    assert all(segment.decode_ids(r.ids, vocab) == clean[r.doc_id].text for r in encoded)
+    assert all(segment.decode_ids(r.ids, vocab) == (clean[r.doc_id].text or "") for r in encoded)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(5, text), (5, text), (3, text), (3, "x y"), (3, "x y"), (5, "other words"), (None, "other words"), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, cls int")
+    kept = jaccard_join.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, text), (3, "x y"), (5, "other words"), (7, None), (7, None), (8, "")], key=str)
+
+
+def test_only_the_contaminated_row_of_an_id_goes(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "z a b c"), (2, "q")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "z a")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.clean(docs, items).collect()) == [(1, "a b c"), (2, "q")]
 
 
 def test_run_equals_its_stages(spark, planted):
