@@ -234,7 +234,8 @@ class Lattice:
         flat = found.ravel()
         spot = np.flatnonzero(flat >= 0)
         piece = flat[spot].astype(np.int64)
-        pos, size = np.divmod(spot, vocab.longest)
+        pos = np.repeat(np.arange(m), np.count_nonzero(found >= 0, axis=1))
+        size = spot - pos * vocab.longest
         log = vocab.log_weight[piece]
         own = alone[pos] & (size == 0)
         piece[own] = -1 - chars[pos[own]].astype(np.int64)
@@ -251,7 +252,11 @@ class Lattice:
         cuts = np.cumsum(np.bincount(rest, minlength=most + 1))
         for d in range(len(cuts) - 1):
             level = node_of[order[cuts[d] : cuts[d + 1]]]
-            if len(level):
+            if len(level) < 16:  # the beginnings of a few long units
+                for node in level.tolist():
+                    own = slice(edge[node], edge[node] + degree[node])
+                    back[node] = np.logaddexp.reduce(log[own] + back[dst[own]])
+            else:
                 edges = _ranges(edge[level], degree[level])
                 back[level] = np.logaddexp.reduceat(log[edges] + back[dst[edges]], np.cumsum(degree[level]) - degree[level])
         log = np.minimum(log + back[dst] - back[src], 0.0)
