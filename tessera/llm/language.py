@@ -8,10 +8,10 @@ by side in one sorted array of gram hashes for each order, so a text needs one
 lookup for each character and order.  A gram that no language has falls back to
 the next order.  The language with the lowest cross-entropy per character wins.
 
-The score is the winner's posterior from the difference of cross-entropies,
-sharpened by a slope and then mapped by a calibration curve fitted on a bounded
-sample of training rows; `rejected` says that the score is below `reject_below`
-or that the text is farther from every model than the sample's own texts are.
+The score is the winner's posterior from the differences of cross-entropies
+times a slope, which is fitted on a bounded sample of training rows; `rejected`
+says that the score is below `reject_below` or that the text is farther from
+every model than the sample's own texts are.
 
 Edge cases: a text that is null or has no letter is `und` with score 0.  Rows
 without a language or with a null text teach nothing.  If no row can teach,
