@@ -149,14 +149,14 @@ def marked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Lattice:
     """The lattices of distinct units, end to end; take() adds those of a slice's texts.
 
-    Edges are sorted by their start node: dst, piece (below 0 for the bytes of
+    Edges are sorted by their start node: size in characters, piece (below 0 for the bytes of
     the character -1 - piece), log, the log-probability given the start node, and
     until, the probability of the edge and those after it.  Long pieces, the
     likeliest, come last and are tried first.
     """
 
     #: Edges from which the lattice is emptied before it takes another slice.
-    MOST_EDGES = 1_500_000
+    MOST_EDGES = 4_000_000
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -165,14 +165,14 @@ class Lattice:
     def _empty(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._sizes: dict[str, int] = {}
-        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("edge", np.int64), ("degree", np.int32), ("src", np.int32), ("dst", np.int32), ("piece", np.int32), ("log", np.float64), ("until", np.float64)):
+        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("edge", np.int64), ("degree", np.int32), ("size", np.int8), ("piece", np.int32), ("log", np.float32), ("until", np.float32)):
             setattr(self, name, np.zeros(1024, kind))
             self._sizes[name] = 0
 
     def _append(self, name: str, values: np.ndarray) -> None:
         own, size = getattr(self, name), self._sizes[name]
         if size + len(values) > len(own):
-            wider = np.zeros(max(2 * len(own), size + len(values)), own.dtype)
+            wider = np.zeros(max(len(own) * 3 // 2, size + len(values)), own.dtype)
             wider[:size] = own[:size]
             setattr(self, name, own := wider)
         own[size : size + len(values)] = values
@@ -180,7 +180,7 @@ class Lattice:
 
     def take(self, points: np.ndarray, at: np.ndarray) -> None:
         """Sets unit, the unit of each place of the texts, and units_of, the units of each text."""
-        if self._sizes["dst"] > self.MOST_EDGES:
+        if self._sizes["size"] > self.MOST_EDGES:
             self._empty()
         n = len(points)
         space = points == SPACE
@@ -206,9 +206,7 @@ class Lattice:
         place[new] = self._sizes["first_node"] + np.arange(len(new))
         if len(new):
             self._build(points[_ranges(first[where[new]], length[where[new]])], length[where[new]])
-            keys, places = np.concatenate([self.keys, own[new]]), np.concatenate([self.places, place[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.places = keys[order], places[order]
+            self.keys, self.places = np.insert(self.keys, spot[new], own[new]), np.insert(self.places, spot[new], place[new])
         self.unit = place[unit]
 
     def _build(self, chars: np.ndarray, length: np.ndarray) -> None:
@@ -266,8 +264,8 @@ class Lattice:
         until = np.repeat(running[(edge + degree - 1)[some]], degree[some]) - (running - chance)
         until[edge[some]] = 2.0  # whatever rounding has left
 
-        node, first = int(self._sizes["edge"]), int(self._sizes["dst"])
-        for name, values in (("first_node", node_at[:-1] + node), ("last_node", node_at[1:] - 1 + node), ("edge", edge + first), ("degree", degree), ("src", src + node), ("dst", dst + node), ("piece", piece), ("log", log), ("until", until)):
+        node, first = int(self._sizes["edge"]), int(self._sizes["size"])
+        for name, values in (("first_node", node_at[:-1] + node), ("last_node", node_at[1:] - 1 + node), ("edge", edge + first), ("degree", degree), ("size", size + 1), ("piece", piece), ("log", log), ("until", until)):
             self._append(name, values)
 
     def draw(self, node: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +283,7 @@ class Lattice:
             steps.append((now, edge))
             count[now] += 1
             log[now] += self.log[edge]
-            current[now] = self.dst[edge]
+            current[now] += self.size[edge]
             now = now[current[now] != last[now]]
         first = np.cumsum(count) - count
         out = np.zeros(int(count.sum()), np.int64)
@@ -318,7 +316,15 @@ class _Search:
         self.queue: list[tuple] = []  # (value, path, unit, edges kept of the unit, edge or None, log-probability up to there)
 
 
-def _expand(search: _Search, node: tuple, lattice: Lattice, seed: np.uint64) -> tuple:
+def _taken(search: _Search, node: tuple, lattice: Lattice) -> int:
+    """Characters of a unit that a node's kept edges and its edge take."""
+    _, at, unit, kept, edge, _ = node
+    path = search.paths[at]
+    first = int(path.counts[:unit].sum())
+    return int(lattice.size[path.edges[first : first + kept]].sum(dtype=np.int64)) + int(lattice.size[edge])
+
+
+def _expand(search: _Search, node: tuple, lattice: Lattice, of: int, seed: np.uint64) -> tuple:
     """Splits `all other paths of this unit` into the edges beside the path; one of them inherits the value."""
     value, at, unit, kept, _, before = node
     path = search.paths[at]
@@ -326,13 +332,14 @@ def _expand(search: _Search, node: tuple, lattice: Lattice, seed: np.uint64) ->
     own = path.edges[first : first + int(path.counts[unit])]
     log = before
     beside, location = [], []
+    src = int(lattice.first_node[of]) + int(lattice.size[own[:kept]].sum(dtype=np.int64))
     for i in range(kept, len(own)):
-        src = lattice.src[own[i]]
         for e in range(int(lattice.edge[src]), int(lattice.edge[src] + lattice.degree[src])):
             if e != own[i]:
                 beside.append((i, e))
-                location.append(log + lattice.log[e])
-        log += lattice.log[own[i]]
+                location.append(log + float(lattice.log[e]))
+        log += float(lattice.log[own[i]])
+        src += int(lattice.size[own[i]])
     location = np.array(location)
     u = _uniform(seed + np.arange(2 * len(beside), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     chosen = int((location - np.log(-np.log(u[: len(beside)]))).argmax())
@@ -366,7 +373,7 @@ def search(lattice: Lattice, keys: np.ndarray, settings: Settings) -> list[_Sear
         node, last = lattice.first_node[own].copy(), lattice.last_node[own]
         head = np.cumsum(width) - width
         inside = np.array([popped[t][4] is not None for t in live], bool)
-        node[head[inside]] = lattice.dst[np.array([popped[t][4] for t in live if popped[t][4] is not None], np.int64)]
+        node[head[inside]] += np.array([_taken(searches[t], popped[t], lattice) for t in live if popped[t][4] is not None], np.int64)
         seed = seeds[texts][row] + (spot - unit_at[texts][row]).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + np.uint64((turn + 1) * 0xE7037ED1A0B428DB % 2**64)
         seed = kernel.mix(seed)
         edges, number, log = lattice.draw(node, last, seed)
@@ -421,7 +428,7 @@ def search(lattice: Lattice, keys: np.ndarray, settings: Settings) -> list[_Sear
             if turn + 1 < k and s.queue:
                 node_ = s.queue.pop(0)
                 if node_[4] is None:
-                    node_ = _expand(s, node_, lattice, kernel.mix(seeds[t : t + 1] + np.uint64(turn * 64 + 9))[0])
+                    node_ = _expand(s, node_, lattice, int(lattice.unit[unit_at[t] + node_[2]]), kernel.mix(seeds[t : t + 1] + np.uint64(turn * 64 + 9))[0])
                     s.queue.sort(key=lambda x: -x[0])
                 popped[t] = node_
     return searches
