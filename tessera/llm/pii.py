@@ -86,6 +86,10 @@ _GROUPS = re.compile(r"\(?\+?[0-9]+\)?(?:[ .()-]{1,3}[0-9]+\)?)*")
 _GROUP = re.compile(r"[0-9]+")
 _ODD_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| ?\. ?|\[dot\]| dot )[0-9]{1,3}){3}(?![0-9])")
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at |\[@\]|\(@\)) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\[dot\]|\(dot\)|\[\.\]) ?| dot |\.)[A-Za-z0-9-]{1,63}+){1,4}", re.IGNORECASE | re.ASCII)
+#: What every match of _WRITTEN holds: an at in brackets, or ` at ` before a label and a dot in some form.
+_AT_FORM = r"[\[(](?:at|@)[\])]| (?=at  ?[a-z0-9-]{1,63}+(?:\.| dot | ?[\[(]))"
+_AT = re.compile(_AT_FORM, re.IGNORECASE | re.ASCII)
+_AT_BYTES = re.compile(_AT_FORM.encode(), re.IGNORECASE)
 #: What the words before an entity often say (fixed values).
 _CUES = {"phone": ("phone", "call", "tel", "mobile", "fax"), "card": ("card", "visa", "pay", "credit"), "ip": ("ip", "host", "server", "addr"), "email": ("mail", "contact", "write", "reach")}
 _SUFFIXES = frozenset("com org net edu gov io de fr es uk info".split())
@@ -132,7 +136,7 @@ def candidates(text: str) -> list[Candidate]:
                         start -= 1
                     out.append(Candidate(text, start, end, "digits"))
     out += [Candidate(text, m.start(), m.end(), "quad") for m in _ODD_QUAD.finditer(text)]
-    if "dot" in text or "DOT" in text or "at]" in text or "at)" in text or "@]" in text or "@)" in text:
+    if _AT.search(text):
         out += [Candidate(text, m.start(), m.end(), "written") for m in _WRITTEN.finditer(text)]
     return sorted(out, key=lambda c: (c.start, c.end))
 
@@ -364,9 +368,9 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
 
 
 def worth_reading(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
-    """Texts that hold a digit, an at sign or, in either case, `dot]`, `dot)` or ` dot `: no pattern matches without."""
+    """Texts that hold a digit, an at sign or a written-out at: no pattern matches without."""
     at = np.flatnonzero(((raw >= 48) & (raw <= 57)) | (raw == 64))
     found = {*np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist()}
-    for m in re.finditer(rb"(?i)dot[\]) ]|at[\])]", raw.tobytes()):
+    for m in _AT_BYTES.finditer(raw.tobytes()):
         found.add(int(np.searchsorted(offsets, m.start(), side="right")) - 1)
     return sorted(found)

@@ -103,6 +103,23 @@ def test_pii_rows(spark):
     assert (digest.n_email, digest.n_ip, digest.n_card, digest.n_phone) == (1, 1, 0, 1)
 
 
+WRITTEN = ["jane.roe (AT) example.com", "joe [AT] site.net", "joe (At) site [Dot] org", "joe at site[.]com", "joe at site.com", "joe AT site Dot com", "joe (@) site.com", "joe at  site (dot) com"]
+
+
+@pytest.mark.parametrize("written", WRITTEN)
+def test_written_addresses_in_any_case_are_candidates(written):
+    text = f"é write to {written}"
+    (m,) = pii._WRITTEN.finditer(text)
+    assert [(c.start, c.end) for c in pii.candidates(text)] == [m.span()]
+    raw = np.frombuffer(f"none{text}at home. Stay".encode(), np.uint8)
+    assert pii.worth_reading(raw, np.array([0, 4, 4 + len(text.encode()), len(raw)])) == [1]
+
+
+def test_written_addresses_are_added(spark):
+    df = spark.createDataFrame(list(enumerate(["write jane.roe (AT) example.com now", "write joe [AT] site.net now", "write joe (At) site [Dot] org now"])), DOCS)
+    assert [[tuple(s) for s in r.added] for r in pii.find(df).orderBy("doc_id").collect()] == [[("email", 6, 31)], [("email", 6, 23)], [("email", 6, 29)]]
+
+
 # Secrets
 
 
