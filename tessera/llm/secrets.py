@@ -5,13 +5,16 @@ bounded sample of documents are the labelled credentials.  For each kind they
 are written as strings of character classes and put in a prefix tree, whose
 states are merged while their outcomes are statistically compatible (Hoeffding
 bounds, as in ALERGIA), which gives a probabilistic automaton of the format.
-Ordinary long words and numbers of the sample give one of the background.
+Ordinary long words and numbers of the sample give one of the background; those
+that a format explains better than the background are bare credentials, and are
+taken out of it until none is left.
 
 Every run of credential characters of at least MIN_LENGTH that holds a digit, or
 of LONG_LENGTH without, is a candidate, in whole documents.  It is scored by the
 log-likelihood ratio per character of the best format against the background,
 and added as a span of that kind above a threshold that keeps all but
-`false_share` of the sample's ordinary candidates out.
+`false_share` of the strings drawn from the background out.  The rule is the same
+at every size of the sample, and bare credentials in the sample don't move it.
 
 Edge cases: a null text is empty; without enough labelled credentials of a kind
 (LEAST) that kind adds nothing.  Added spans never overlap base ones.  Repeated
@@ -21,6 +24,7 @@ rows give equal results; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,9 +48,10 @@ class Settings:
     #: Documents that the automata are learned from, about, and matches or ordinary candidates of each kind at most.
     sample_docs: int = 20_000
     max_strings: int = 2_000
-    #: Confidence of the merge test, and the share of ordinary candidates that may pass.
+    #: Confidence of the merge test, and the share of ordinary strings that may pass, among so many drawn ones.
     alpha: float = 0.05
     false_share: float = 1e-3
+    draws: int = 20_000
 
 
 _CI = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
@@ -152,6 +157,19 @@ class Automaton:
         return total / (len(s) + 1)
 
 
+    def draw(self, rng: random.Random, most: int) -> str:
+        """A string of the automaton, ended at `most` characters at the latest."""
+        state, out = 0, []
+        while len(out) < most:
+            own = self.count[state]
+            (c,) = rng.choices([*own], [*own.values()])
+            if c == "$":
+                break
+            out.append(c)
+            state = self.next[state][c]
+        return "".join(out)
+
+
 @dataclass(frozen=True)
 class Model:
     formats: dict[str, Automaton]
@@ -226,15 +244,36 @@ def learn(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
     for r in sorted(rows, key=lambda r: (r["kind"], r["rank"])):
         strings.setdefault(r["kind"], []).append(classes(r["value"]))
     formats = {k: Automaton(strings[k], settings.alpha) for k in KINDS if len(strings.get(k, ())) >= LEAST}
-    plain = strings.get("", [])
-    model = Model(formats, Automaton(plain, settings.alpha) if plain else None, math.inf)
     if not formats:
-        return model
-    # Ordinary candidates must stay below; too few of them tell nothing of so small a share.
-    ordinary = sorted((max(a.log_likelihood(s) for a in formats.values()) - (model.background.log_likelihood(s) if model.background else 0) for s in plain), reverse=True)
-    allowed = int(len(ordinary) * settings.false_share)
-    edge = ordinary[allowed] if allowed else 0.0
-    return Model(formats, model.background, max(LEAST_RATIO, edge + 0.05))
+        return Model(formats, None, math.inf)
+    background = _background(strings.get("", []), formats, settings.alpha)
+    return Model(formats, background, _threshold(formats, background, settings))
+
+
+def _ratio(s: str, formats: dict[str, Automaton], background: Automaton) -> float:
+    return max(a.log_likelihood(s) for a in formats.values()) - background.log_likelihood(s)
+
+
+def _background(plain: list[str], formats: dict[str, Automaton], alpha: float) -> Automaton | None:
+    """The automaton of the strings that no format explains better than the automaton itself."""
+    while plain:
+        background = Automaton(plain, alpha)
+        ordinary = [s for s in plain if _ratio(s, formats, background) <= 0]
+        if len(ordinary) == len(plain):
+            return background
+        plain = ordinary
+    return None
+
+
+def _threshold(formats: dict[str, Automaton], background: Automaton | None, settings: Settings) -> float:
+    """The ratio that the share `false_share` of the strings drawn from the background exceed, and a margin."""
+    if background is None:
+        return LEAST_RATIO
+    rng = random.Random(1)
+    drawn = (background.draw(rng, 4 * LONG_LENGTH) for _ in range(settings.draws))
+    ratios = sorted((_ratio(s, formats, background) for s in drawn if len(s) >= MIN_LENGTH), reverse=True)
+    edge = ratios[int(len(ratios) * settings.false_share)] if ratios else 0.0
+    return max(LEAST_RATIO, edge + 0.05)
 
 
 def added_spans(text: str, found: list[tuple[int, int]], base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:

@@ -170,6 +170,22 @@ def test_secrets_beyond_the_patterns(spark):
     assert secrets.find(df.limit(0), model).count() == 0
 
 
+def test_many_bare_secrets_do_not_hide_themselves(spark):
+    rng = random.Random(4)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(24, 34)))
+    rows = [(i, f"some password={hexa(24)} here") for i in range(100)]
+    rows += [(1000 + i, f"{word()} {word()} and {rng.randrange(10**12, 10**15)}") for i in range(500)]
+    small = spark.createDataFrame(rows + [(5000 + i, f"bare {hexa(24)} end") for i in range(5)], DOCS)
+    large = spark.createDataFrame(rows + [(5000 + i, f"bare {hexa(24)} end") for i in range(150)], DOCS)
+    for df in (small, large):
+        model = secrets.learn(df)
+        got = {r.doc_id: [tuple(s) for s in r.added] for r in secrets.find(df, model).collect()}
+        bare = [spans == [("assign", 5, 29)] for d, spans in got.items() if d >= 5000]
+        assert sum(bare) >= 0.9 * len(bare)
+        assert sum(bool(spans) for d, spans in got.items() if d < 5000) <= 2
+
+
 # Quality
 
 
