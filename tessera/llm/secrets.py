@@ -59,8 +59,8 @@ _ASSIGN = re.compile(rf"""({"|".join(_CI(w) for w in ("password", "passwd", "sec
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_CLASS = kernel._table(lambda b: 48 <= b <= 57 or 97 <= b <= 102)
-#: Characters of credentials; dots and equals signs end sentences, so a candidate is stripped of them.
-_RUN = kernel._table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b in b"+/_.=-" or b >= 128)
+#: Characters of credentials, so that any character outside ASCII ends a run; dots and equals signs end sentences, so a candidate is stripped of them.
+_RUN = kernel._table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b in b"+/_.=-")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -187,9 +187,8 @@ def candidates(raw: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int
     """By text, byte spans of runs of credential characters that are long enough, without dots and equals signs at the ends."""
     mapped, starts, ends, at = kernel.spans(raw, offsets, _RUN)
     digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-    wide = np.concatenate([[0], np.cumsum(raw >= 128)])
     length = ends - starts
-    fits = (wide[ends] == wide[starts]) & ((length >= MIN_LENGTH) & (digits[ends] > digits[starts]) | (length >= LONG_LENGTH))
+    fits = (length >= MIN_LENGTH) & (digits[ends] > digits[starts]) | (length >= LONG_LENGTH)
     out: dict[int, list[tuple[int, int]]] = {}
     for w in np.flatnonzero(fits).tolist():
         s, e = int(starts[w]), int(ends[w])

@@ -186,6 +186,14 @@ def test_many_bare_secrets_do_not_hide_themselves(spark):
         assert sum(bool(spans) for d, spans in got.items() if d < 5000) <= 2
 
 
+@pytest.mark.parametrize("around", ["“{}”", "：{}", "密钥{}是", "—{}—", "\u00a0{}\u00a0", "é{} "])
+def test_runs_beside_other_characters_are_candidates(around):
+    text = around.format("9f8e7d6c5b4a39281706f5e4")
+    raw = np.frombuffer(text.encode(), np.uint8)
+    start = text.encode().index(b"9f8e")
+    assert secrets.candidates(raw, np.array([0, len(raw)])) == {0: [(start, start + 24)]}
+
+
 # Quality
 
 
