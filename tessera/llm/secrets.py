@@ -1,8 +1,8 @@
 """Secret scans: fixed base patterns, and automata inferred from labelled credentials.
 
-The base patterns (assign, access, hex) always count.  Their matches in a
-bounded sample of documents are the labelled credentials.  For each kind they
-are written as strings of character classes and put in a prefix tree, whose
+The base patterns (assign, access, hex) always count.  Their matches in all
+documents are the labelled credentials, of which each kind keeps the `max_strings`
+with the smallest hashes.  They are written as strings of character classes and put in a prefix tree, whose
 states are merged while their outcomes are statistically compatible (Hoeffding
 bounds, as in ALERGIA), which gives a probabilistic automaton of the format.
 Ordinary long words and numbers of the sample give one of the background; those
@@ -31,11 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, persisted
 
 KINDS = ("assign", "access", "hex")
 MIN_LENGTH, LONG_LENGTH, LEAST = 12, 24, 10
@@ -45,7 +45,7 @@ LEAST_RATIO = 0.35
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents that the automata are learned from, about, and matches or ordinary candidates of each kind at most.
+    #: Documents that ordinary candidates are taken from, about, and matches or ordinary candidates of each kind at most.
     sample_docs: int = 20_000
     max_strings: int = 2_000
     #: Confidence of the merge test, and the share of ordinary strings that may pass, among so many drawn ones.
@@ -215,13 +215,15 @@ def learn(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
     settings = settings or Settings()
     total = max(1, docs.count())
     slots = 1 << 20
-    own = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)) < max(1, int(slots * min(1.0, settings.sample_docs / total))))
+    sampled = F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)) < max(1, int(slots * min(1.0, settings.sample_docs / total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, values = [], []
-            for _, _, raw, offsets in kernel.slices(batch.column(0)):
-                read, found = worth_reading(raw, offsets), candidates(raw, offsets)
+            ordinary = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            for first, end, raw, offsets in kernel.slices(batch.column(0)):
+                read = worth_reading(raw, offsets)
+                found = {t: x for t, x in candidates(raw, offsets).items() if ordinary[first + t]} if ordinary[first:end].any() else {}
                 for t in sorted(read | {*found}):
                     text = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8")
                     base = base_spans(text) if t in read else []
@@ -236,12 +238,18 @@ def learn(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
                             values.append(data[s:e].decode())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
-    found = bounded_batches(own).select(F.col(text_col).alias("text")).mapInArrow(kernel.lean(run), "kind string, value string").distinct()
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = found.withColumn("rank", rank).where(F.col("rank") <= settings.max_strings).collect()
+    found = persisted(bounded_batches(docs).select(F.col(text_col).alias("text"), sampled.alias("sampled")).mapInArrow(kernel.lean(run), "kind string, value string").distinct(), "secrets")
+    # Hashes below a bound that four times max_strings of a kind are expected under; the smallest max_strings are among them.
+    bound = F.lit((1 << 63) - 1)
+    for r in found.groupBy("kind").count().collect():
+        share = 4 * settings.max_strings / r["count"]
+        bound = F.when(F.col("kind") == r["kind"], int(share * (1 << 64)) - (1 << 63)).otherwise(bound) if share < 1 else bound
+    rows = found.withColumn("h", F.xxhash64("value")).where(F.col("h") <= bound).collect()
     strings: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["rank"])):
-        strings.setdefault(r["kind"], []).append(classes(r["value"]))
+    for r in sorted(rows, key=lambda r: (r["kind"], r["h"], r["value"])):
+        own = strings.setdefault(r["kind"], [])
+        if len(own) < settings.max_strings:
+            own.append(classes(r["value"]))
     formats = {k: Automaton(strings[k], settings.alpha) for k in KINDS if len(strings.get(k, ())) >= LEAST}
     if not formats:
         return Model(formats, None, math.inf)

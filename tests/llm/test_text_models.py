@@ -194,6 +194,18 @@ def test_runs_beside_other_characters_are_candidates(around):
     assert secrets.candidates(raw, np.array([0, len(raw)])) == {0: [(start, start + 24)]}
 
 
+def test_rare_labelled_credentials_of_all_documents_count(spark):
+    rng = random.Random(6)
+    hexa = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
+    df = spark.createDataFrame([(i, f"a password={hexa()} b" if i % 100 == 0 else "nothing here") for i in range(2000)], DOCS)
+    strings = {}
+    for most in (8, 2000):
+        model = secrets.learn(df, secrets.Settings(sample_docs=20, max_strings=most))
+        strings[most] = {k: sum(a.count[0].values()) for k, a in model.formats.items()}
+    assert strings[8] == {}
+    assert strings[2000]["assign"] >= 20
+
+
 # Quality
 
 
