@@ -3,10 +3,11 @@
 Texts are read as lower-cased letters with one space for each run of anything
 else.  Every training text is counted: each task sums the grams of the highest
 order by language, and a shuffle sums the tasks.  The lower orders count in how
-many contexts a gram continues.  The probabilities of all languages stand side
-by side in one sorted array of gram hashes for each order, so a text needs one
-lookup for each character and order.  A gram that no language has falls back to
-the next order.  The language with the lowest cross-entropy per character wins.
+many contexts a gram continues.  Counts of counts, contexts and probabilities are
+computed by Spark over all grams of all languages.  The probabilities stand in one
+sorted array of gram hashes for each order, in a file that every executor gets and
+maps, so the model may be larger than memory.  A gram that no language has falls
+back to the next order.  The language with the lowest cross-entropy per character wins.
 
 The score is the winner's posterior from the differences of cross-entropies
 times a slope, which is fitted on a bounded sample of training rows; `rejected`
@@ -21,13 +22,21 @@ The columns text, lang and the id are read; others are ignored.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import os
+import shutil
 import sys
+import tempfile
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
@@ -37,10 +46,6 @@ from tessera.llm.common import bounded_batches, fold, persisted
 @dataclass(frozen=True)
 class Settings:
     order: int = 4
-    #: Grams of the highest order that a language's model keeps at most, the most frequent ones; counting covers all.
-    max_grams: int = 200_000
-    #: Languages that are learned at most, those with the most grams.
-    max_languages: int = 64
     #: Labelled rows for the calibration at most.
     calibration_rows: int = 2000
     reject_below: float = 0.6
@@ -48,10 +53,12 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
+    """The arrays are in a file that SparkFiles has by name."""
+
     languages: list[str]
-    keys: list[np.ndarray]  # by order from 1: sorted gram hashes
-    logs: list[np.ndarray]  # by order: log probabilities, a column for each language
-    floor: float
+    order: int
+    file: str
+    places: dict[tuple[int, str], tuple[int, int]]  # by table and part: where the array begins in the file, and its bytes
     slope: float
     limit: float  # cross-entropy above which a text is rejected
 
@@ -131,7 +138,10 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
 
 
 def smooth(counts: dict[str, dict[str, int]], order: int) -> list[dict[str, dict[str, float]]]:
-    """Of each order from 1 and each language: gram to interpolated Kneser-Ney probability of its last character."""
+    """Of each order from 1 and each language: gram to interpolated Kneser-Ney probability of its last character.
+
+    The plain form of probabilities(), for tables that fit in memory.
+    """
     out: list[dict[str, dict[str, float]]] = [{} for _ in range(order)]
     for lang, top in counts.items():
         tables = [top]
@@ -156,35 +166,134 @@ def smooth(counts: dict[str, dict[str, int]], order: int) -> list[dict[str, dict
     return out
 
 
-def _tables(langs: list[str], probability: list[dict[str, dict[str, float]]], order: int) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Sorted hashes and log probabilities.  A gram that one language lacks has there what its lower orders give."""
-    floor = float(np.log(1e-7))
-    keys, logs = [], []
-
-    def value(lang: str, gram: str) -> float:
-        weight = 1.0
-        while gram:
-            k = len(gram) - 1
-            p = probability[k][lang].get(gram)
-            if p is not None:
-                return weight * p
-            if k:
-                weight *= probability[k][lang + "\0left"].get(gram[:-1], 1.0)
-            gram = gram[1:]
-        return 1e-7 * weight
-
-    for k in range(order):
-        grams = sorted({g for lang in langs for g in probability[k][lang]})
-        points = np.array([[ord(c) for c in g] for g in grams], np.uint32).reshape(len(grams), k + 1)
-        hashed = np.zeros(len(grams), np.uint64)
-        for i in range(k + 1):
-            hashed = hashed * np.uint64(0x5851F42D4C957F2D) + points[:, i].astype(np.uint64) + np.uint64(1)
-        hashed = kernel.mix(hashed)
-        table = np.array([[value(lang, g) for lang in langs] for g in grams], np.float64).reshape(len(grams), len(langs))
-        by = np.argsort(hashed)
-        keys.append(hashed[by])
-        logs.append(np.log(np.maximum(table[by], 1e-12)).astype(np.float32))
-    return keys, logs, floor
+def probabilities(grams: DataFrame, order: int) -> DataFrame:
+    """place, lang, gram and value: at place k - 1 log probabilities of the grams of order k, at order + k - 2 log weights that contexts of k - 1 characters leave to the lower order."""
+    tables = [grams]
+    for k in range(order, 1, -1):  # lower orders count distinct contexts to the left
+        tables.insert(0, persisted(tables[0].groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")), f"grams{k - 1}"))
+    out, below = [], None
+    for k, table in enumerate(tables, 1):
+        once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
+        cut = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5)
+        by_lang = table.groupBy("lang").agg(cut.alias("cut"), F.count("*").alias("all"))  # a row a language
+        context = F.substring("gram", 1, k - 1).alias("context")
+        left = table.groupBy("lang", context).agg(F.sum("n").alias("mass"), F.count("*").alias("kinds")).join(F.broadcast(by_lang), "lang")
+        left = left.withColumn("left", F.col("cut") * F.col("kinds") / F.col("mass"))
+        each = table.select("lang", "gram", "n", context, F.substring("gram", 2, k - 1).alias("suffix")).join(left, ["lang", "context"])
+        if below is not None:
+            each = each.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"])
+            out.append(left.select(F.lit(order + k - 2).alias("place"), "lang", F.col("context").alias("gram"), F.log("left").alias("value")))
+        else:
+            each = each.withColumn("low", 1.0 / (F.col("all") + 1))
+        below = persisted(each.select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("mass") + F.col("left") * F.col("low")).alias("p")), f"probabilities{k}")
+        out.append(below.select(F.lit(k - 1).alias("place"), "lang", "gram", F.log("p").alias("value")))
+    return functools.reduce(DataFrame.union, out)
+
+
+_TOP = np.uint64(1 << 63)  # turned over, unsigned hashes are in the order of signed ones
+_PARTS = {"keys": np.uint64, "at": np.int64, "lang": np.int32, "log": np.float32}
+
+
+def _write(values: DataFrame, langs: list[str], order: int) -> tuple[str, dict[tuple[int, str], tuple[int, int]]]:
+    """Writes what probabilities() gives to one file of sorted arrays, part by part, and hands it to the executors."""
+    length = [*range(1, order + 1), *range(1, order)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for k in np.unique(place).tolist():
+                own = batch.filter(pa.array(place == k))
+                chars = np.frombuffer("".join(own.column(2).to_pylist()).encode("utf-32-le"), np.uint32)
+                h = (_hash(chars, length[k])[:: length[k]] ^ _TOP).view(np.int64)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(h), own.column(1), own.column(3)], names=["place", "h", "lang", "value"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(langs, pa.string())
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for k in np.unique(place).tolist():
+                own = batch.filter(pa.array(place == k))
+                keys = own.column(1).to_numpy().view(np.uint64) ^ _TOP
+                n = pc.list_value_length(own.column(2)).to_numpy().astype(np.int64)
+                each = own.column(2).flatten()
+                lang = pc.index_in(each.field(0), value_set=names).to_numpy().astype(np.int32)
+                log = each.field(1).to_numpy().astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, n, lang, log))], names=["place", *_PARTS])
+
+    rows = values.mapInArrow(kernel.lean(hashed), "place int, h long, lang string, value double").groupBy("place", "h").agg(F.collect_list(F.struct("lang", "value")).alias("each"))
+    blobs = rows.orderBy("place", "h").mapInArrow(kernel.lean(packed), "place int, keys binary, at binary, lang binary, log binary")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from here
+    last: dict[int, int] = {}
+    for row in blobs.toLocalIterator():
+        k = row["place"]
+        for part in _PARTS:
+            data = row[part]
+            if part == "at":  # offsets, from numbers of entries
+                ends = np.cumsum(np.frombuffer(data, np.int64)) + last.get(k, 0)
+                data = ends.tobytes() if k in last else np.append(0, ends).tobytes()
+                last[k] = int(ends[-1])
+            with open(f"{folder}/{k}.{part}", "ab") as f:
+                f.write(data)
+    name, places = f"tessera-language-{uuid.uuid4().hex}", {}
+    with open(f"{folder}/{name}", "wb") as f:
+        for k in sorted(last):
+            for part in _PARTS:
+                begin = f.tell()
+                with open(f"{folder}/{k}.{part}", "rb") as g:
+                    shutil.copyfileobj(g, f)
+                os.remove(f"{folder}/{k}.{part}")
+                places[k, part] = begin, f.tell() - begin
+                f.write(bytes(-f.tell() % 8))
+    values.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    return name, places
+
+
+class _Table:
+    """Log values by gram hash and language."""
+
+    def __init__(self, data: np.ndarray, model: Model, place: int) -> None:
+        part = {}
+        for x, kind in _PARTS.items():
+            begin, size = model.places.get((place, x), (0, 0))
+            part[x] = data[begin : begin + size].view(kind)
+        self.finder, self.at, self.lang, self.log = _Lookup(part["keys"]), part["at"], part["lang"], part["log"]
+
+    def entries(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What there is of the wanted hashes: their indices, languages and log values."""
+        place = self.finder.find(wanted)
+        row = np.flatnonzero(place >= 0)
+        first, n = self.at[place[row]], self.at[place[row] + 1] - self.at[place[row]]
+        spot = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        return np.repeat(row, n), self.lang[spot], self.log[spot]
+
+
+class _Tables:
+    """The mapped arrays of a model in a worker."""
+
+    FLOOR, LEAST = np.log(1e-7), np.log(1e-12)
+    CELLS = 1 << 21
+
+    def __init__(self, model: Model) -> None:
+        data = np.memmap(SparkFiles.get(model.file), np.uint8, "r")
+        self.width = len(model.languages)
+        self.grams = [_Table(data, model, k) for k in range(model.order)]
+        self.left = [None, *(_Table(data, model, model.order + k) for k in range(model.order - 1))]
+
+    def values(self, hashed: list[np.ndarray], spots: np.ndarray, level: int) -> np.ndarray:
+        """Log probabilities by language of the characters at spots, each given the level - 1 before; a language that lacks the gram has there what its lower orders give."""
+        out = np.zeros((len(spots), self.width))
+        todo = np.ones(out.shape, bool)
+        for k in range(level, 0, -1):
+            row, lang, log = self.grams[k - 1].entries(hashed[k - 1][spots - k + 1])
+            own = todo[row, lang]
+            out[row[own], lang[own]] += log[own]
+            todo[row, lang] = False
+            if k > 1 and todo.any():
+                row, lang, log = self.left[k - 1].entries(hashed[k - 2][spots - k + 1])
+                own = todo[row, lang]
+                out[row[own], lang[own]] += log[own]
+        return np.maximum(np.where(todo, out + self.FLOOR, out), self.LEAST)
 
 
 class _Lookup:
@@ -193,13 +302,14 @@ class _Lookup:
     PART = 16
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.begin = np.searchsorted(keys, np.arange(1 << self.PART, dtype=np.uint64) << np.uint64(64 - self.PART))
+        self.keys = keys
+        self.part = np.uint64(64 - min(20, max(self.PART, len(keys).bit_length())))
+        self.begin = np.searchsorted(keys, np.arange(1 << (64 - int(self.part)), dtype=np.uint64) << self.part)
         self.steps = int(np.diff(np.append(self.begin, len(keys))).max(initial=0))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places of the wanted hashes, or -1."""
-        place = self.begin[(wanted >> np.uint64(64 - self.PART)).astype(np.int64)]
+        place = self.begin[(wanted >> self.part).astype(np.int64)]
         last = len(self.keys) - 1
         todo = np.arange(len(wanted))
         out = np.full(len(wanted), -1, np.int64)
@@ -214,7 +324,7 @@ class _Lookup:
         return out
 
 
-def entropies(model: Model, finders: list[_Lookup], chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def entropies(tables: _Tables, chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: cross-entropy per character for each language, and its number of letters."""
     count = len(at) - 1
     of = np.repeat(np.arange(count), np.diff(at))
@@ -222,28 +332,33 @@ def entropies(model: Model, finders: list[_Lookup], chars: np.ndarray, at: np.nd
     use = np.ones(n, bool)
     use[at[:-1][np.diff(at) > 0]] = False  # the leading space is context only
     spot = np.flatnonzero(use)
-    order = len(model.keys)
+    order, width = len(tables.grams), tables.width
     room = spot - at[:-1][of[spot]]  # characters of context
     place, level = np.full(len(spot), -1, np.int64), np.zeros(len(spot), np.int8)
     todo = np.arange(len(spot))
+    hashes = [_hash(chars, k) for k in range(1, order + 1)]
     for k in range(order, 0, -1):
         own = todo[room[todo] >= k - 1]
-        hashed = _hash(chars, k)
-        got = finders[k - 1].find(hashed[spot[own] - k + 1])
+        got = tables.grams[k - 1].finder.find(hashes[k - 1][spot[own] - k + 1])
         hit = got >= 0
         place[own[hit]], level[own[hit]] = got[hit], k
         todo = np.flatnonzero(level == 0) if k > 1 else todo
-    sums = np.zeros((count, len(model.languages)))
+    sums = np.zeros((count, width))
+    step = max(1, tables.CELLS // max(1, width))
     for k in range(1, order + 1):
         own = np.flatnonzero(level == k)
-        values = model.logs[k - 1][place[own]]
-        text = of[spot[own]]
-        for j in range(len(model.languages)):
-            sums[:, j] += np.bincount(text, values[:, j], count)
+        own = own[np.argsort(place[own], kind="stable")]
+        _, first, number = np.unique(place[own], return_index=True, return_inverse=True)
+        for a in range(0, len(first), step):  # each gram is looked up once
+            some = own[slice(*np.searchsorted(number, (a, a + step)))]
+            values = tables.values(hashes, spot[own[first[a : a + step]]], k)
+            text, gram = of[spot[some]], number[slice(*np.searchsorted(number, (a, a + step)))] - a
+            for j in range(width):
+                sums[:, j] += np.bincount(text, values[gram, j], count)
     missing = np.bincount(of[spot[level == 0]], minlength=count)
     letters_of = np.bincount(of[chars != 32], minlength=count)
     scored = np.bincount(of[spot], minlength=count)
-    return -(sums + missing[:, None] * model.floor) / np.maximum(1, scored)[:, None], letters_of
+    return -(sums + missing[:, None] * tables.FLOOR) / np.maximum(1, scored)[:, None], letters_of
 
 
 def _judge(model: Model, per: np.ndarray, letters_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,24 +375,17 @@ def fit(docs: DataFrame, settings: Settings | None = None, folds: int = 5, held_
     settings = settings or Settings()
     rows = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
     grams = persisted(count_grams(rows, settings.order), "grams")
-    total = grams.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(settings.max_languages)
-    ranked = grams.join(F.broadcast(total), "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    top = ranked.where(F.col("rank") <= settings.max_grams).select("lang", "gram", "n").toArrow()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, gram, n in zip(*(top.column(i).to_pylist() for i in range(3)), strict=True):
-        counts.setdefault(lang, {})[gram] = n
-    langs = sorted(counts)
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
-        return Model([], [], [], 0.0, 1.0, 0.0)
-    keys, logs, floor = _tables(langs, smooth(counts, settings.order), settings.order)
-    model = Model(langs, keys, logs, floor, 1.0, float("inf"))
+        return Model([], settings.order, "", {}, 1.0, 0.0)
+    model = Model(langs, settings.order, *_write(probabilities(grams, settings.order), langs, settings.order), 1.0, float("inf"))
 
     ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(settings.calibration_rows).agg(F.max("h")).first()[0]
     sample = rows.where(F.xxhash64("doc_id") <= ids).select("text", "lang")
     got = _measured(sample, model).toArrow()
     per = np.array(got.column(0).to_pylist(), np.float64).reshape(got.num_rows, len(langs))
     letters_of, truth = np.asarray(got.column(1)), got.column(2).to_pylist()
-    known = np.array([t in counts for t in truth], bool) & (letters_of > 0)
+    known = np.array([t in langs for t in truth], bool) & (letters_of > 0)
     per, letters_of = per[known], letters_of[known]
     right = np.array([langs.index(t) for t, k in zip(truth, known, strict=True) if k], np.int64)
     best = None
@@ -286,19 +394,16 @@ def fit(docs: DataFrame, settings: Settings | None = None, folds: int = 5, held_
         like = (gain[np.arange(len(right)), right] - np.log(np.exp(np.maximum(gain, -50)).sum(axis=1))).sum()
         best = max(best or (-np.inf, 0), (like, slope))
     limit = float(np.quantile(per.min(axis=1), 0.999) * 1.25) if len(per) else float("inf")
-    return Model(langs, keys, logs, floor, float(best[1]) if len(right) else 1.0, limit)
+    return replace(model, slope=float(best[1]) if len(right) else 1.0, limit=limit)
 
 
 def _measured(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        finders = [_Lookup(k) for k in m.keys]
+        tables = _Tables(model)
         for batch in batches:
             for first, end, chars, at in letters(batch.column(0)):
-                per, letters_of = entropies(m, finders, chars, at)
-                width = len(m.languages)
+                per, letters_of = entropies(tables, chars, at)
+                width = tables.width
                 yield pa.RecordBatch.from_arrays([kernel.lists(per.ravel(), np.arange(len(per) + 1) * width, pa.float64()), pa.array(letters_of.astype(np.int64)), batch.column(1)[first:end]], names=["per", "letters", "lang"])
 
     return rows.mapInArrow(kernel.lean(run), "per array<double>, letters long, lang string")
@@ -307,17 +412,15 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
 def predict(docs: DataFrame, model: Model, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, lang_pred, score, cross_entropy and rejected."""
     settings = settings or Settings()
-    # At most max_languages times max_grams grams, and their lower orders.
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        finders = [_Lookup(k) for k in m.keys]
+        m = model
+        tables = _Tables(m) if m.languages else None
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
             for first, end, chars, at in letters(batch.column(1)):
                 if m.languages:
-                    per, letters_of = entropies(m, finders, chars, at)
+                    per, letters_of = entropies(tables, chars, at)
                     best, score, low = _judge(m, per, letters_of)
                 else:
                     letters_of = np.zeros(end - first, np.int64)

@@ -303,6 +303,24 @@ def test_probabilities_are_interpolated_kneser_ney():
     assert second == pytest.approx((3 - 0.5) / 4 + 0.5 * 2 / 4 * p[0]["x"]["b"])
 
 
+def test_every_language_and_gram_counts(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    speak = {x: _speaker([chr(0x4E00 + 20 * i + c) for c in range(20)], i) for i, x in enumerate(names)}
+    docs = spark.createDataFrame([(i, speak[x](40), x) for i in range(700) for x in [names[i % 70]]], "doc_id long, text string, lang string")
+    got = language.predict(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert [r.doc_id for r in got if r.lang_pred != r.lang] == []
+
+
+def test_probabilities_equal_the_plain_form(spark):
+    counts = {"x": {"aab": 3, "aac": 1, "bab": 2, "cab": 1}, "y": {"日本語": 2, "本語日": 1, "aab": 1}}
+    grams = spark.createDataFrame([(x, g, n) for x, t in counts.items() for g, n in t.items()], "lang string, gram string, n long")
+    got = {(r.place, r.lang, r.gram): math.exp(r.value) for r in language.probabilities(grams, 3).collect()}
+    plain = language.smooth(counts, 3)
+    want = {(k, x, g): p for k in range(3) for x in counts for g, p in plain[k][x].items()}
+    want |= {(2 + k, x, g): p for k in (1, 2) for x in counts for g, p in plain[k][x + "\0left"].items()}
+    assert got == pytest.approx(want)
+
+
 def test_lookup_finds_every_hash():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**63, size=5000, dtype=np.uint64) << np.uint64(1))
