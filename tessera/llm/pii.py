@@ -6,24 +6,32 @@ country code.  Candidate segments are runs of digit groups, dotted quads with
 odd separators and written-out addresses; overlapping candidates form a window.
 A labelled segmentation of a window is scored by features of its whole segments
 (lengths, group shapes, checks, the words around) and of neighbouring types.
-The best one is found by dynamic programming over segment ends, the type of the
-last entity and the number of entities, whose bound is MAX_ENTITIES a window;
-a window that could hold more is decoded with as many as it could hold.
+The best one is found by dynamic programming over segment ends and the type of
+the last entity.  Entities are bounded in length: digit groups to LEAST_DIGITS to
+MAX_DIGITS digits, addresses by their pattern.  So a place starts a bounded number
+of candidates and the programme takes time in proportion to the text, whatever the
+number of entities.
 
 The weights are fitted here by gradient ascent on the likelihood of generated
 texts, in which entities and look-alikes are written in many ways.
 
-Edge cases: a null text is empty.  Scanning is linear in the text's length, and
-candidates have at most MAX_GROUPS groups.  Added spans never overlap base ones.
-Rows that repeat give equal results; an empty table gives an empty result.
+Edge cases: a null text is empty.  Scanning is linear in the text's length.
+Added spans never overlap base ones.  Of segmentations that score alike, the one
+found first counts.  Rows that repeat give equal results; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +42,8 @@ from tessera.llm import text as kernel
 from tessera.llm.common import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_ENTITIES = 8
-MAX_GROUPS = 6
+#: Digits of a candidate made of digit groups: a short phone number has 7, and no kind has more than 19.
+LEAST_DIGITS, MAX_DIGITS = 7, 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -94,51 +102,83 @@ _AT_BYTES = re.compile(_AT_FORM.encode(), re.IGNORECASE)
 _CUES = {"phone": ("phone", "call", "tel", "mobile", "fax"), "card": ("card", "visa", "pay", "credit"), "ip": ("ip", "host", "server", "addr"), "email": ("mail", "contact", "write", "reach")}
 _SUFFIXES = frozenset("com org net edu gov io de fr es uk info".split())
 
-
-class Candidate:
-    """A segment with the features of its whole span."""
-
-    __slots__ = ("start", "end", "features")
-
-    def __init__(self, text: str, start: int, end: int, family: str) -> None:
-        self.start, self.end = start, end
-        span = text[start:end]
-        digits = _digits(span)
-        groups = [len(g) for g in _GROUP.findall(span)]
-        before = text[max(0, start - 24) : start].lower()
-        around = text[max(0, start - 1) : start] + text[end : end + 1]
-        seps = "".join(sorted({c for c in span if not c.isalnum()}))[:4]
-        out = [f"family={family}", f"{family} digits={min(len(digits), 20)}", f"{family} shape={'-'.join(map(str, groups[:6]))}", f"{family} seps={seps}", f"{family} groups={min(len(groups), 7)}"]
-        if family == "digits":
-            n = len(digits)
-            out += [f"luhn={luhn(digits)} sixteen={16 <= n <= 19}", f"paren={span[0] == '('} ten={n == 10}", f"wide={any(len(g) > 8 for g in _GROUP.findall(span))}"]
-        if family == "quad":
-            out.append(f"octets={all(int(g) <= 255 for g in _GROUP.findall(span))}")
-        if family == "written":
-            out += [f"suffix={span.lower().rsplit('.')[-1].split()[-1].split(']')[-1].split(')')[-1].strip() in _SUFFIXES}", f"bracket={'[' in span or '(' in span}", f"dots={'dot' in span.lower()}"]
-        out += [f"{family} cue={kind}" for kind, cues in _CUES.items() if any(c in before for c in cues)] or [f"{family} cue=none"]
-        out.append(f"{family} glued={any(c.isalnum() or c in '-/$#' for c in around)}")
-        self.features = out
+#: A segment: start, end and the key that its features follow from.
+Candidate = tuple[int, int, tuple]
+
+
+def _cues(text: str, start: int) -> tuple[str, ...]:
+    before = text[max(0, start - 24) : start].lower()
+    return tuple(kind for kind, cues in _CUES.items() if any(c in before for c in cues)) or ("none",)
+
+
+def _glued(text: str, start: int, end: int) -> bool:
+    return any(c.isalnum() or c in "-/$#" for c in text[max(0, start - 1) : start] + text[end : end + 1])
+
+
+def _separators(span: str) -> str:
+    return "".join(sorted({c for c in span if not c.isalnum()}))[:4]
+
+
+def _of_groups(text: str, first: int, end: int) -> Iterator[Candidate]:
+    """Segments of whole digit groups that hold LEAST_DIGITS to MAX_DIGITS digits."""
+    groups = [m.span() for m in _GROUP.finditer(text, first, end)]
+    if sum(e - s for s, e in groups) < LEAST_DIGITS:
+        return
+    for i, (start, _) in enumerate(groups):
+        cues = None
+        seen, seps, shape, n, wide, digits = set(), "", [], 0, False, ""
+        for j in range(i, len(groups)):
+            s, e = groups[j]
+            n += e - s
+            if n > MAX_DIGITS:
+                break
+            if j > i and not seen.issuperset(between := text[groups[j - 1][1] : s]):
+                seen.update(between)
+                seps = "".join(sorted(seen))[:4]
+            shape.append(e - s)
+            wide |= e - s > 8
+            digits += text[s:e]
+            if n < LEAST_DIGITS:
+                continue
+            own, own_seps = start, seps
+            if start and text[start - 1] == "(" and ")" in seen:
+                own, own_seps = start - 1, "".join(sorted({*seen, "("}))[:4]
+            cues = cues or _cues(text, start)
+            yield own, e, ("digits", n, tuple(shape[:6]), own_seps, min(len(shape), 7), cues, _glued(text, own, e), 16 <= n <= 19 and luhn(digits), own < start, wide)
+
+
+def features(key: tuple) -> list[str]:
+    """Features of a whole segment."""
+    family, n, shape, seps, groups, cues, glued, *more = key
+    out = [f"family={family}", f"{family} digits={min(n, 20)}", f"{family} shape={'-'.join(map(str, shape))}", f"{family} seps={seps}", f"{family} groups={groups}"]
+    if family == "digits":
+        checked, paren, wide = more
+        out += [f"luhn={checked} sixteen={16 <= n <= 19}", f"paren={paren} ten={n == 10}", f"wide={wide}"]
+    elif family == "quad":
+        out.append(f"octets={more[0]}")
+    else:
+        out += [f"suffix={more[0]}", f"bracket={more[1]}", f"dots={more[2]}"]
+    return out + [f"{family} cue={kind}" for kind in cues] + [f"{family} glued={glued}"]
+
+
+def _whole(text: str, start: int, end: int, family: str) -> Candidate:
+    span = text[start:end]
+    groups = _GROUP.findall(span)
+    low = span.lower()
+    if family == "quad":
+        more = (all(int(g) <= 255 for g in groups),)
+    else:
+        more = (low.rsplit(".")[-1].split()[-1].split("]")[-1].split(")")[-1].strip() in _SUFFIXES, "[" in span or "(" in span, "dot" in low)
+    return start, end, (family, sum(map(len, groups)), tuple(len(g) for g in groups[:6]), _separators(span), min(len(groups), 7), _cues(text, start), _glued(text, start, end), *more)
 
 
 def candidates(text: str) -> list[Candidate]:
-    out = []
-    for m in _GROUPS.finditer(text):
-        groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m.group())]
-        if sum(e - s for s, e in groups) < 7:
-            continue
-        for i in range(len(groups)):
-            for j in range(i, min(i + MAX_GROUPS, len(groups))):
-                start, end = groups[i][0], groups[j][1]
-                n = sum(e - s for s, e in groups[i : j + 1])
-                if 7 <= n <= 20:
-                    if start and text[start - 1] == "(" and ")" in text[start:end]:
-                        start -= 1
-                    out.append(Candidate(text, start, end, "digits"))
-    out += [Candidate(text, m.start(), m.end(), "quad") for m in _ODD_QUAD.finditer(text)]
+    """All segments that may be an entity, by start and end; whether one is here follows from it and the 24 characters before."""
+    out = [c for m in _GROUPS.finditer(text) for c in _of_groups(text, *m.span())]
+    out += [_whole(text, *m.span(), "quad") for m in _ODD_QUAD.finditer(text)]
     if _AT.search(text):
-        out += [Candidate(text, m.start(), m.end(), "written") for m in _WRITTEN.finditer(text)]
-    return sorted(out, key=lambda c: (c.start, c.end))
+        out += [_whole(text, *m.span(), "written") for m in _WRITTEN.finditer(text)]
+    return sorted(out, key=lambda c: c[:2])
 
 
 def windows(found: list[Candidate]) -> Iterator[list[Candidate]]:
@@ -146,116 +186,153 @@ def windows(found: list[Candidate]) -> Iterator[list[Candidate]]:
     group: list[Candidate] = []
     reach = -1
     for c in found:
-        if group and c.start >= reach:
+        if group and c[0] >= reach:
             yield group
-            group = []
+            group, reach = [], -1
         group.append(c)
-        reach = max(reach if len(group) > 1 else c.end, c.end)
+        reach = max(reach, c[1])
     if group:
         yield group
 
 
+class _Lockstep:
+    """Windows of a training set, whose sums over segmentations run side by side.
+
+    The starts and ends of a window's candidates in order are its steps, ends
+    first where they meet: at its start a candidate sees the sum over all that
+    ended before.
+    """
+
+    def __init__(self, groups: list[list[Candidate]]) -> None:
+        groups = sorted(groups, key=len, reverse=True)
+        self.groups = groups
+        self.first = np.cumsum([0, *map(len, groups)])
+        steps: list[tuple[list, list, list]] = [([], [], []) for _ in range(2 * len(groups[0]))] if groups else []
+        for w, g in enumerate(groups):
+            events = sorted([(c[1], 0, i) for i, c in enumerate(g)] + [(c[0], 1, i) for i, c in enumerate(g)])
+            for t, (_, starts, i) in enumerate(events):
+                for column, x in zip(steps[t], (w, self.first[w] + i, starts), strict=True):
+                    column.append(x)
+        self.steps = [tuple(np.array(x, np.int64) for x in step) for step in steps]
+
+    def sums(self, scores: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each candidate and kind: log sums before, with and after it; and each window's log sum of all."""
+        n, kinds, none = len(scores), scores.shape[1], scores.shape[1]
+        before, forward, backward = (np.full((n, kinds), -np.inf) for _ in range(3))
+        run = np.full((len(self.groups), kinds), -np.inf)
+        for w, c, starts in self.steps:
+            a, b = starts == 1, starts == 0
+            before[c[a]] = run[w[a]]
+            reached = np.logaddexp.reduce(run[w[a]][:, :, None] + pairs[:none], axis=1) if a.any() else np.zeros((0, kinds))
+            forward[c[a]] = np.logaddexp(reached, pairs[none]) + scores[c[a]]
+            run[w[b]] = np.logaddexp(run[w[b]], forward[c[b]])
+        total = np.logaddexp(0.0, np.logaddexp.reduce(run, axis=1))
+        run = np.full_like(run, -np.inf)
+        for w, c, starts in reversed(self.steps):
+            a, b = starts == 1, starts == 0
+            if b.any():
+                backward[c[b]] = np.logaddexp(np.logaddexp.reduce(pairs[:none] + run[w[b]][:, None, :], axis=2), 0.0)
+            run[w[a]] = np.logaddexp(run[w[a]], scores[c[a]] + backward[c[a]])
+        return before, forward, backward, total
+
+
 class Field:
     """Weights by (feature, kind) and by neighbouring kinds."""
 
+    #: Segment keys whose scores are remembered.
+    REMEMBERED = 1 << 16
+
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
         self.weights = np.zeros((0, len(KINDS)))
         self.pairs = np.zeros((len(KINDS) + 1, len(KINDS)))  # last row: no entity before
-
-    def _scores(self, group: list[Candidate]) -> np.ndarray:
-        out = np.zeros((len(group), len(KINDS)))
-        for i, c in enumerate(group):
-            own = [self.numbers[f] for f in c.features if f in self.numbers]
-            out[i] = self.weights[own].sum(axis=0) - 3.0 * (len(c.features) - len(own))
-        return out
+        self._known: dict[tuple, tuple] = {}
+
+    def _own(self, key: tuple) -> list[int]:
+        """Numbers of the features; what training saw less than twice is one feature a family."""
+        rare = self.numbers[f"{key[0]} rare"]
+        return [self.numbers.get(f, rare) for f in features(key)]
+
+    def scores(self, key: tuple) -> tuple[np.ndarray, bool]:
+        """Scores of a segment by kind, and whether it may be an entity at all.
+
+        Leaving a segment out changes two neighbours to one, so a kind whose score is
+        less than that can cost is in no best segmentation.
+        """
+        got = self._known.get(key)
+        if got is None:
+            own = self.weights[self._own(key)].sum(axis=0)
+            none = len(KINDS)
+            gain = own + self.pairs.max(axis=0) + np.maximum(0, self.pairs[:none].max(axis=1)) - min(0.0, self.pairs.min())
+            if len(self._known) >= self.REMEMBERED:
+                self._known.clear()
+            got = self._known[key] = (own, bool((gain >= 0).any()))
+        return got
 
     def decode(self, group: list[Candidate]) -> list[tuple[str, int, int]]:
-        """The best labelled segmentation of a window."""
-        scores = self._scores(group)
-        n, none = len(group), len(KINDS)
-        before = [max((j for j in range(i) if group[j].end <= group[i].start), default=-1) for i in range(n)]
-        compatible = [[j for j in range(before[i] + 1) if group[j].end <= group[i].start] for i in range(n)]
-        most = MAX_ENTITIES
-        if n > most:  # as many as can stand side by side
-            fit, end = 0, -1
-            for c in sorted(group, key=lambda c: c.end):
-                if c.start >= end:
-                    fit, end = fit + 1, c.end
-            most = max(most, fit)
-        # best[count][i, kind]: score of a segmentation whose last entity is candidate i
-        best, back = [np.full((n, none), -np.inf)], [{}]
-        best[0] = scores + self.pairs[none]
-        top, at = 0.0, None
-        for count in range(most):
-            if count:
-                now, links = np.full((n, none), -np.inf), {}
-                for i in range(n):
-                    for j in compatible[i]:
-                        total = best[count - 1][j][:, None] + self.pairs[:none]
-                        kind = total.argmax(axis=0)
-                        value = total.max(axis=0) + scores[i]
-                        for k in np.flatnonzero(value > now[i]):
-                            now[i, k], links[i, k] = value[k], (j, int(kind[k]))
-                if not np.isfinite(now).any():
-                    break
-                best.append(now)
-                back.append(links)
-            i, k = np.unravel_index(best[count].argmax(), best[count].shape)
-            if best[count][i, k] > top:
-                top, at = best[count][i, k], (count, int(i), int(k))
-        out = []
-        while at is not None:
-            count, i, k = at
-            out.append((KINDS[k], group[i].start, group[i].end))
-            at = (count - 1, *back[count][i, k]) if count else None
-        return out[::-1]
-
-    def _gradient(self, group: list[Candidate], truth: set[tuple[str, int, int]], grad: np.ndarray, pair_grad: np.ndarray) -> None:
-        """Adds observed minus expected feature counts of a window, by forward and backward sums."""
-        scores = self._scores(group)
-        n, none = len(group), len(KINDS)
-        forward = np.zeros((n, none))
-        backward = np.zeros((n, none))
-        after = [[j for j in range(n) if group[j].start >= group[i].end] for i in range(n)]
-        order = sorted(range(n), key=lambda i: group[i].start)
-        prior = [[j for j in range(n) if group[j].end <= group[i].start] for i in range(n)]
-        for i in order:
-            terms = [self.pairs[none]] + [forward[j][:, None] + self.pairs[:none] for j in prior[i]]
-            forward[i] = np.logaddexp.reduce(np.vstack(terms), axis=0) + scores[i]
-        for i in reversed(order):
-            terms = [np.zeros((none, 1))] + [self.pairs[:none] + scores[j] + backward[j] for j in after[i]]
-            backward[i] = np.logaddexp.reduce(np.hstack(terms), axis=1)
-        log_z = np.logaddexp.reduce(np.append(0.0, (self.pairs[none] + scores + backward).ravel()))
-        expected = np.exp(forward + backward - log_z)
-        right = [i for i in range(n) for k in range(none) if (KINDS[k], group[i].start, group[i].end) in truth]
-        for i in range(n):
-            own = [self.numbers[f] for f in group[i].features]
-            delta = -expected[i]
+        """The best labelled segmentation of a window, by dynamic programming over segment ends and kinds."""
+        able = [(s, e, own.tolist()) for s, e, key in group for own, may in (self.scores(key),) if may]
+        if not able:
+            return []
+        none, pairs = len(KINDS), self.pairs.tolist()
+        alone = pairs[none]
+        reached: list[tuple[float, tuple | None]] = [(-math.inf, None)] * none  # best that has ended, by its last kind
+        waiting: list[tuple[int, int, list]] = []  # candidates that have not, by their ends
+        top: tuple[float, tuple | None] = (0.0, None)
+        for number, (start, end, own) in enumerate(able):
+            while waiting and waiting[0][0] <= start:
+                for k, x in enumerate(heapq.heappop(waiting)[2]):
+                    if x[0] > reached[k][0]:
+                        reached[k] = x
+            here = []
             for k in range(none):
-                delta = delta + (np.arange(none) == k) * ((KINDS[k], group[i].start, group[i].end) in truth)
-            grad[own] += delta
-            pair_grad[none] -= np.exp(self.pairs[none] + scores[i] + backward[i] - log_z)
-            for j in prior[i]:
-                pair_grad[:none] -= np.exp(forward[j][:, None] + self.pairs[:none] + scores[i] + backward[i] - log_z)
-        last = none
-        for i in sorted(set(right), key=lambda i: group[i].start):
-            k = next(k for k in range(none) if (KINDS[k], group[i].start, group[i].end) in truth)
-            pair_grad[last, k] += 1
-            last = k
+                value, chain = alone[k], None
+                for j in range(none):
+                    if reached[j][0] + pairs[j][k] > value:
+                        value, chain = reached[j][0] + pairs[j][k], reached[j][1]
+                here.append((value + own[k], (KINDS[k], start, end, chain)))
+                if here[k][0] > top[0]:
+                    top = here[k]
+            heapq.heappush(waiting, (end, number, here))
+        out, chain = [], top[1]
+        while chain is not None:
+            out.append(chain[:3])
+            chain = chain[3]
+        return out[::-1]
 
     def learn(self, texts: list[tuple[str, set[tuple[str, int, int]]]], rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> None:
-        groups = [(g, truth) for text, truth in texts for g in windows(candidates(text))]
-        for g, _ in groups:
-            for c in g:
-                for f in c.features:
-                    self.numbers.setdefault(f, len(self.numbers))
-        self.weights = np.zeros((len(self.numbers), len(KINDS)))
+        """Gradient ascent on the likelihood of the texts' segmentations."""
+        pairs_of = [(g, truth) for text, truth in texts for g in windows(candidates(text))]
+        steps = _Lockstep([g for g, _ in pairs_of])
+        truth_of = {id(g): truth for g, truth in pairs_of}
+        seen = Counter(f for g in steps.groups for c in g for f in features(c[2]))
+        names = [f"{family} rare" for family in ("digits", "quad", "written")] + [f for f, n in seen.items() if n > 1]
+        self.numbers = {f: i for i, f in enumerate(names)}
+        self._known.clear()
+        own = [self._own(c[2]) for g in steps.groups for c in g]
+        flat, at = np.array([f for x in own for f in x], np.int64), np.cumsum([0, *map(len, own)])
+        n, none, many = len(own), len(KINDS), len(names)
+        right, right_pairs = np.zeros((n, none)), np.zeros_like(self.pairs)
+        for w, g in enumerate(steps.groups):
+            last = none
+            for i, c in enumerate(g):
+                for k, kind in enumerate(KINDS):
+                    if (kind, c[0], c[1]) in truth_of[id(g)]:
+                        right[steps.first[w] + i, k] = 1
+                        right_pairs[last, k] += 1
+                        last = k
+        window = np.repeat(np.arange(len(steps.groups)), [len(g) for g in steps.groups])
+        self.weights = np.zeros((many, none))
         squares, pair_squares = np.full_like(self.weights, 1e-6), np.full_like(self.pairs, 1e-6)
-        for _ in range(rounds):
-            grad, pair_grad = -decay * self.weights * len(groups), -decay * self.pairs * len(groups)
-            for g, truth in groups:
-                self._gradient(g, truth, grad, pair_grad)
+        for _ in range(rounds if n else 0):
+            scores = np.add.reduceat(self.weights[flat], at[:-1], axis=0)
+            before, forward, backward, total = steps.sums(scores, self.pairs)
+            total = total[window][:, None]
+            delta = np.repeat(right - np.exp(forward + backward - total), np.diff(at), axis=0)
+            grad = np.stack([np.bincount(flat, delta[:, k], many) for k in range(none)], axis=1) - decay * self.weights * len(steps.groups)
+            ahead = scores + backward - total
+            expected = np.vstack([np.exp(before[:, :, None] + self.pairs[:none] + ahead[:, None, :]).sum(axis=0), np.exp(self.pairs[none] + ahead).sum(axis=0)])
+            pair_grad = right_pairs - expected - decay * self.pairs * len(steps.groups)
             squares += grad**2
             pair_squares += pair_grad**2
             self.weights += rate * grad / np.sqrt(squares)
@@ -329,16 +406,16 @@ def trained(rows: int = 700, seed: int = 11) -> Field:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
-    taken = sorted((s, e) for _, s, e in base)
-    found = [c for c in candidates(text) if not any(s < c.end and c.start < e for s, e in taken)] if len(taken) < 20 else _clear(candidates(text), taken)
-    return [span for group in windows(found) for span in field.decode(group)]
+    return [span for group in windows(_clear(candidates(text), sorted((s, e) for _, s, e in base))) for span in field.decode(group)]
 
 
 def _clear(found: list[Candidate], taken: list[tuple[int, int]]) -> list[Candidate]:
     """Candidates that overlap none of the sorted spans."""
-    starts = np.array([s for s, _ in taken])
-    reach = np.maximum.accumulate(np.array([e for _, e in taken]))
-    return [c for c in found if (i := int(np.searchsorted(starts, c.end))) == 0 or reach[i - 1] <= c.start]
+    if not taken:
+        return found
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))
+    return [c for c in found if (i := bisect_left(starts, c[1])) == 0 or reach[i - 1] <= c[0]]
 
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
