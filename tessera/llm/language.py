@@ -1,18 +1,23 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are read as lower-cased letters with one space for each run of anything
-else.  Every training text is counted: each task sums the grams of the highest
-order by language, and a shuffle sums the tasks.  The lower orders count in how
-many contexts a gram continues.  Counts of counts, contexts and probabilities are
-computed by Spark over all grams of all languages.  The probabilities stand in one
-sorted array of gram hashes for each order, in a file that every executor gets and
-maps, so the model may be larger than memory.  A gram that no language has falls
-back to the next order.  The language with the lowest cross-entropy per character wins.
-
-The score is the winner's posterior from the differences of cross-entropies
-times a slope, which is fitted on a bounded sample of training rows; `rejected`
+else.  Every training text is counted, but for those kept for the calibration:
+each task sums the grams of the highest order by language, and a shuffle sums the
+tasks.  The lower orders count in how many contexts a gram continues, and below the
+first lies the same chance for each of Unicode's code points, so that a language's
+probabilities after any context sum to 1.  Counts of counts, contexts and
+probabilities are computed by Spark over all grams of all languages.  The
+probabilities, and the weights that contexts leave to the lower order, stand in
+sorted arrays of gram hashes, in files of the shared folder that every executor
+gets and maps, so the model may be larger than memory.  A gram that a language lacks
+gets from it what its context leaves times the chance in the next lower order.  The
+language with the lowest cross-entropy per character wins.
+
+The score is the winner's posterior from the differences of cross-entropies times a
+slope.  The slope is fitted on labelled rows that are not counted: the share
+`calibration_share` of the training rows, and `calibration_rows` at most.  `rejected`
 says that the score is below `reject_below` or that the text is farther from
-every model than the sample's own texts are.
+every model than those rows' texts are.
 
 Edge cases: a text that is null or has no letter is `und` with score 0.  Rows
 without a language or with a null text teach nothing.  If no row can teach,
@@ -22,12 +27,8 @@ The columns text, lang and the id are read; others are ignored.
 
 from __future__ import annotations
 
-import atexit
 import functools
-import os
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -40,29 +41,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
-from tessera.llm.common import bounded_batches, fold, persisted
+from tessera.llm.common import bounded_batches, checkpoint_folder, delete_at_end, fold, persisted
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 4
-    #: Labelled rows for the calibration at most.
+    #: Labelled rows kept for the calibration: their share, and about how many at most.
+    calibration_share: float = 0.05
     calibration_rows: int = 2000
     reject_below: float = 0.6
 
 
 @dataclass(frozen=True)
 class Model:
-    """The arrays are in a file that SparkFiles has by name."""
+    """The arrays are in files that SparkFiles has by name."""
 
     languages: list[str]
     order: int
-    file: str
-    places: dict[tuple[int, str], tuple[int, int]]  # by table and part: where the array begins in the file, and its bytes
+    files: dict[tuple[int, str], str]  # by table and part
+    floors: tuple[float, ...]  # by language: log probability of a character that it lacks, after no context
     slope: float
     limit: float  # cross-entropy above which a text is rejected
 
 
+#: The characters that the lowest order deals its chance out to.
+ALPHABET = sys.maxunicode + 1
 _letters: list[np.ndarray] = []
 
 
@@ -159,15 +163,15 @@ def smooth(counts: dict[str, dict[str, int]], order: int) -> list[dict[str, dict
             for gram, n in table.items():
                 mass[gram[:-1]] = mass.get(gram[:-1], 0) + n
                 kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
-            below = {g: (n - cut) / mass[g[:-1]] + cut * kinds[g[:-1]] / mass[g[:-1]] * (below.get(g[1:], 0.0) if k else 1.0 / (len(table) + 1)) for g, n in table.items()}
+            below = {g: (n - cut) / mass[g[:-1]] + cut * kinds[g[:-1]] / mass[g[:-1]] * (below[g[1:]] if k else 1.0 / ALPHABET) for g, n in table.items()}
             out[k][lang] = below
-            if k:  # the weight that a context leaves to the lower order, under the context itself
-                out[k][lang + "\0left"] = {c: cut * kinds[c] / mass[c] for c in mass}
+            # The weight that a context leaves to the lower order, under the context itself.
+            out[k][lang + "\0left"] = {c: cut * kinds[c] / mass[c] for c in mass}
     return out
 
 
 def probabilities(grams: DataFrame, order: int) -> DataFrame:
-    """place, lang, gram and value: at place k - 1 log probabilities of the grams of order k, at order + k - 2 log weights that contexts of k - 1 characters leave to the lower order."""
+    """place, lang, gram and value: at place k - 1 log probabilities of the grams of order k, at order + k - 1 log weights that contexts of k - 1 characters leave to the lower order."""
     tables = [grams]
     for k in range(order, 1, -1):  # lower orders count distinct contexts to the left
         tables.insert(0, persisted(tables[0].groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")), f"grams{k - 1}"))
@@ -175,16 +179,16 @@ def probabilities(grams: DataFrame, order: int) -> DataFrame:
     for k, table in enumerate(tables, 1):
         once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
         cut = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5)
-        by_lang = table.groupBy("lang").agg(cut.alias("cut"), F.count("*").alias("all"))  # a row a language
+        by_lang = table.groupBy("lang").agg(cut.alias("cut"))  # a row a language
         context = F.substring("gram", 1, k - 1).alias("context")
         left = table.groupBy("lang", context).agg(F.sum("n").alias("mass"), F.count("*").alias("kinds")).join(F.broadcast(by_lang), "lang")
         left = left.withColumn("left", F.col("cut") * F.col("kinds") / F.col("mass"))
         each = table.select("lang", "gram", "n", context, F.substring("gram", 2, k - 1).alias("suffix")).join(left, ["lang", "context"])
+        out.append(left.select(F.lit(order + k - 1).alias("place"), "lang", F.col("context").alias("gram"), F.log("left").alias("value")))
         if below is not None:
             each = each.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"])
-            out.append(left.select(F.lit(order + k - 2).alias("place"), "lang", F.col("context").alias("gram"), F.log("left").alias("value")))
         else:
-            each = each.withColumn("low", 1.0 / (F.col("all") + 1))
+            each = each.withColumn("low", F.lit(1.0 / ALPHABET))
         below = persisted(each.select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("mass") + F.col("left") * F.col("low")).alias("p")), f"probabilities{k}")
         out.append(below.select(F.lit(k - 1).alias("place"), "lang", "gram", F.log("p").alias("value")))
     return functools.reduce(DataFrame.union, out)
@@ -194,9 +198,9 @@ _TOP = np.uint64(1 << 63)  # turned over, unsigned hashes are in the order of si
 _PARTS = {"keys": np.uint64, "at": np.int64, "lang": np.int32, "log": np.float32}
 
 
-def _write(values: DataFrame, langs: list[str], order: int) -> tuple[str, dict[tuple[int, str], tuple[int, int]]]:
-    """Writes what probabilities() gives to one file of sorted arrays, part by part, and hands it to the executors."""
-    length = [*range(1, order + 1), *range(1, order)]
+def _write(values: DataFrame, langs: list[str], order: int) -> dict[tuple[int, str], str]:
+    """Writes what probabilities() gives to files of sorted arrays in the shared folder, and hands them to the executors; their names by place and part."""
+    length = [*range(1, order + 1), *range(order)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +208,7 @@ def _write(values: DataFrame, langs: list[str], order: int) -> tuple[str, dict[t
             for k in np.unique(place).tolist():
                 own = batch.filter(pa.array(place == k))
                 chars = np.frombuffer("".join(own.column(2).to_pylist()).encode("utf-32-le"), np.uint32)
-                h = (_hash(chars, length[k])[:: length[k]] ^ _TOP).view(np.int64)
+                h = (_hash(chars, length[k])[:: length[k]] ^ _TOP).view(np.int64)  # of the grams one after the other
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(h), own.column(1), own.column(3)], names=["place", "h", "lang", "value"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,41 +226,41 @@ def _write(values: DataFrame, langs: list[str], order: int) -> tuple[str, dict[t
 
     rows = values.mapInArrow(kernel.lean(hashed), "place int, h long, lang string, value double").groupBy("place", "h").agg(F.collect_list(F.struct("lang", "value")).alias("each"))
     blobs = rows.orderBy("place", "h").mapInArrow(kernel.lean(packed), "place int, keys binary, at binary, lang binary, log binary")
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from here
-    last: dict[int, int] = {}
-    for row in blobs.toLocalIterator():
-        k = row["place"]
-        for part in _PARTS:
-            data = row[part]
-            if part == "at":  # offsets, from numbers of entries
-                ends = np.cumsum(np.frombuffer(data, np.int64)) + last.get(k, 0)
-                data = ends.tobytes() if k in last else np.append(0, ends).tobytes()
-                last[k] = int(ends[-1])
-            with open(f"{folder}/{k}.{part}", "ab") as f:
-                f.write(data)
-    name, places = f"tessera-language-{uuid.uuid4().hex}", {}
-    with open(f"{folder}/{name}", "wb") as f:
-        for k in sorted(last):
+    spark = values.sparkSession
+    jvm = spark.sparkContext._jvm
+    name = f"tessera-language-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/{name}"
+    delete_at_end(spark, folder)
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, streams, last = {}, {}, {}
+    try:
+        for row in blobs.toLocalIterator():
+            k = row["place"]
             for part in _PARTS:
-                begin = f.tell()
-                with open(f"{folder}/{k}.{part}", "rb") as g:
-                    shutil.copyfileobj(g, f)
-                os.remove(f"{folder}/{k}.{part}")
-                places[k, part] = begin, f.tell() - begin
-                f.write(bytes(-f.tell() % 8))
-    values.sparkSession.sparkContext.addFile(f"{folder}/{name}")
-    return name, places
+                data = row[part]
+                if part == "at":  # offsets, from numbers of entries
+                    ends = np.cumsum(np.frombuffer(data, np.int64)) + last.get(k, 0)
+                    data = ends.tobytes() if k in last else np.append(0, ends).tobytes()
+                    last[k] = int(ends[-1])
+                if (k, part) not in streams:
+                    files[k, part] = f"{name}-{k}-{part}"
+                    streams[k, part] = system.create(jvm.org.apache.hadoop.fs.Path(at, files[k, part]))
+                streams[k, part].write(bytearray(data))
+    finally:
+        for stream in streams.values():
+            stream.close()
+    for file in files.values():
+        spark.sparkContext.addFile(system.makeQualified(jvm.org.apache.hadoop.fs.Path(at, file)).toString())
+    return files
 
 
 class _Table:
     """Log values by gram hash and language."""
 
-    def __init__(self, data: np.ndarray, model: Model, place: int) -> None:
-        part = {}
-        for x, kind in _PARTS.items():
-            begin, size = model.places.get((place, x), (0, 0))
-            part[x] = data[begin : begin + size].view(kind)
+    def __init__(self, model: Model, place: int) -> None:
+        read = lambda x, kind: np.memmap(SparkFiles.get(model.files[place, x]), kind, "r") if (place, x) in model.files else np.zeros(0, kind)
+        part = {x: read(x, kind) for x, kind in _PARTS.items()}
         self.finder, self.at, self.lang, self.log = _Lookup(part["keys"]), part["at"], part["lang"], part["log"]
 
     def entries(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,14 +275,12 @@ class _Table:
 class _Tables:
     """The mapped arrays of a model in a worker."""
 
-    FLOOR, LEAST = np.log(1e-7), np.log(1e-12)
     CELLS = 1 << 21
 
     def __init__(self, model: Model) -> None:
-        data = np.memmap(SparkFiles.get(model.file), np.uint8, "r")
-        self.width = len(model.languages)
-        self.grams = [_Table(data, model, k) for k in range(model.order)]
-        self.left = [None, *(_Table(data, model, model.order + k) for k in range(model.order - 1))]
+        self.width, self.floors = len(model.languages), np.array(model.floors)
+        self.grams = [_Table(model, k) for k in range(model.order)]
+        self.left = [None, *(_Table(model, model.order + k) for k in range(1, model.order))]
 
     def values(self, hashed: list[np.ndarray], spots: np.ndarray, level: int) -> np.ndarray:
         """Log probabilities by language of the characters at spots, each given the level - 1 before; a language that lacks the gram has there what its lower orders give."""
@@ -293,7 +295,7 @@ class _Tables:
                 row, lang, log = self.left[k - 1].entries(hashed[k - 2][spots - k + 1])
                 own = todo[row, lang]
                 out[row[own], lang[own]] += log[own]
-        return np.maximum(np.where(todo, out + self.FLOOR, out), self.LEAST)
+        return np.where(todo, out + self.floors, out)
 
 
 class _Lookup:
@@ -333,32 +335,27 @@ def entropies(tables: _Tables, chars: np.ndarray, at: np.ndarray) -> tuple[np.nd
     use[at[:-1][np.diff(at) > 0]] = False  # the leading space is context only
     spot = np.flatnonzero(use)
     order, width = len(tables.grams), tables.width
-    room = spot - at[:-1][of[spot]]  # characters of context
-    place, level = np.full(len(spot), -1, np.int64), np.zeros(len(spot), np.int8)
-    todo = np.arange(len(spot))
+    level = np.minimum(order, spot - at[:-1][of[spot]] + 1)  # a text's first characters have less context
     hashes = [_hash(chars, k) for k in range(1, order + 1)]
-    for k in range(order, 0, -1):
-        own = todo[room[todo] >= k - 1]
-        got = tables.grams[k - 1].finder.find(hashes[k - 1][spot[own] - k + 1])
-        hit = got >= 0
-        place[own[hit]], level[own[hit]] = got[hit], k
-        todo = np.flatnonzero(level == 0) if k > 1 else todo
     sums = np.zeros((count, width))
     step = max(1, tables.CELLS // max(1, width))
     for k in range(1, order + 1):
         own = np.flatnonzero(level == k)
-        own = own[np.argsort(place[own], kind="stable")]
-        _, first, number = np.unique(place[own], return_index=True, return_inverse=True)
+        gram = hashes[k - 1][spot[own] - k + 1]
+        by = np.argsort(gram, kind="stable")
+        own, gram = own[by], gram[by]
+        new = np.ones(len(own), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        first, number = np.flatnonzero(new), np.cumsum(new) - 1
         for a in range(0, len(first), step):  # each gram is looked up once
-            some = own[slice(*np.searchsorted(number, (a, a + step)))]
+            some = slice(*np.searchsorted(number, (a, a + step)))
             values = tables.values(hashes, spot[own[first[a : a + step]]], k)
-            text, gram = of[spot[some]], number[slice(*np.searchsorted(number, (a, a + step)))] - a
+            text, place = of[spot[own[some]]], number[some] - a
             for j in range(width):
-                sums[:, j] += np.bincount(text, values[gram, j], count)
-    missing = np.bincount(of[spot[level == 0]], minlength=count)
+                sums[:, j] += np.bincount(text, values[place, j], count)
     letters_of = np.bincount(of[chars != 32], minlength=count)
     scored = np.bincount(of[spot], minlength=count)
-    return -(sums + missing[:, None] * tables.FLOOR) / np.maximum(1, scored)[:, None], letters_of
+    return -sums / np.maximum(1, scored)[:, None], letters_of
 
 
 def _judge(model: Model, per: np.ndarray, letters_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,27 +371,38 @@ def fit(docs: DataFrame, settings: Settings | None = None, folds: int = 5, held_
     """Learns from rows whose id is not in the held-out fold."""
     settings = settings or Settings()
     rows = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
-    grams = persisted(count_grams(rows, settings.order), "grams")
+    total = rows.count()
+    slots = 1_000_003
+    share = min(settings.calibration_share, settings.calibration_rows / max(1, total))
+    kept = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)) < int(slots * share)
+    grams = persisted(count_grams(rows.where(~kept), settings.order), "grams")
     langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
-        return Model([], settings.order, "", {}, 1.0, 0.0)
-    model = Model(langs, settings.order, *_write(probabilities(grams, settings.order), langs, settings.order), 1.0, float("inf"))
-
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(settings.calibration_rows).agg(F.max("h")).first()[0]
-    sample = rows.where(F.xxhash64("doc_id") <= ids).select("text", "lang")
-    got = _measured(sample, model).toArrow()
+        return Model([], settings.order, {}, (), 1.0, 0.0)
+    values = persisted(probabilities(grams, settings.order), "language")
+    first = {r["lang"]: r["value"] for r in values.where(F.col("place") == settings.order).collect()}  # a row a language
+    files = _write(values.where(F.col("place") != settings.order), langs, settings.order)
+    model = Model(langs, settings.order, files, tuple(first[x] - float(np.log(ALPHABET)) for x in langs), 1.0, float("inf"))
+
+    # Copies of one row may all be kept; those with the smallest hashes do.
+    sample = _measured(rows.where(kept).select("text", "lang"), model)
+    got = sample.orderBy(F.xxhash64("per", "lang"), "letters").limit(settings.calibration_rows).toArrow()
     per = np.array(got.column(0).to_pylist(), np.float64).reshape(got.num_rows, len(langs))
     letters_of, truth = np.asarray(got.column(1)), got.column(2).to_pylist()
     known = np.array([t in langs for t in truth], bool) & (letters_of > 0)
-    per, letters_of = per[known], letters_of[known]
-    right = np.array([langs.index(t) for t, k in zip(truth, known, strict=True) if k], np.int64)
+    return replace(model, **calibrate(per[known], letters_of[known], np.array([langs.index(t) for t, k in zip(truth, known, strict=True) if k], np.int64)))
+
+
+def calibrate(per: np.ndarray, letters_of: np.ndarray, right: np.ndarray) -> dict[str, float]:
+    """The slope of the highest likelihood of the right languages, and the limit of cross-entropy, from rows' cross-entropies by language."""
+    if not len(right):
+        return {"slope": 1.0, "limit": float("inf")}
     best = None
-    for slope in np.geomspace(0.05, 20, 25):  # the slope of the highest likelihood
+    for slope in np.geomspace(0.05, 20, 25):
         gain = -(per - per.min(axis=1)[:, None]) * slope * np.sqrt(letters_of)[:, None]
         like = (gain[np.arange(len(right)), right] - np.log(np.exp(np.maximum(gain, -50)).sum(axis=1))).sum()
         best = max(best or (-np.inf, 0), (like, slope))
-    limit = float(np.quantile(per.min(axis=1), 0.999) * 1.25) if len(per) else float("inf")
-    return replace(model, slope=float(best[1]) if len(right) else 1.0, limit=limit)
+    return {"slope": float(best[1]), "limit": float(np.quantile(per.min(axis=1), 0.999) * 1.25)}
 
 
 def _measured(rows: DataFrame, model: Model) -> DataFrame:
