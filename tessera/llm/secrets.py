@@ -5,9 +5,9 @@ documents are the labelled credentials, of which each kind keeps the `max_string
 with the smallest hashes.  They are written as strings of character classes and put in a prefix tree, whose
 states are merged while their outcomes are statistically compatible (Hoeffding
 bounds, as in ALERGIA), which gives a probabilistic automaton of the format.
-Ordinary long words and numbers of the sample give one of the background; those
-that a format explains better than the background are bare credentials, and are
-taken out of it until none is left.
+Ordinary long words and numbers of all documents, again `max_strings` of them, give
+one of the background; those that a format explains better than the background are
+bare credentials, and are taken out of it until none is left.
 
 Every run of credential characters of at least MIN_LENGTH that holds a digit, or
 of LONG_LENGTH without, is a candidate, in whole documents.  It is scored by the
@@ -26,16 +26,19 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
-from tessera.llm.common import bounded_batches, persisted
+from tessera.llm.common import bounded_batches
 
 KINDS = ("assign", "access", "hex")
 MIN_LENGTH, LONG_LENGTH, LEAST = 12, 24, 10
@@ -45,8 +48,7 @@ LEAST_RATIO = 0.35
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents that ordinary candidates are taken from, about, and matches or ordinary candidates of each kind at most.
-    sample_docs: int = 20_000
+    #: Different matches of each kind, and different ordinary candidates, that automata are inferred from at most.
     max_strings: int = 2_000
     #: Confidence of the merge test, and the share of ordinary strings that may pass, among so many drawn ones.
     alpha: float = 0.05
@@ -156,7 +158,6 @@ class Automaton:
             state = self.next[state].get(c, 0)
         return total / (len(s) + 1)
 
-
     def draw(self, rng: random.Random, most: int) -> str:
         """A string of the automaton, ended at `most` characters at the latest."""
         state, out = 0, []
@@ -211,45 +212,61 @@ def worth_reading(raw: np.ndarray, offsets: np.ndarray) -> set[int]:
     return set((np.searchsorted(offsets, spots, side="right") - 1).tolist()) if spots else set()
 
 
+class _Smallest:
+    """The strings of the smallest hashes, each once."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.bound, self.held = most, 1 << 64, {}
+
+    def add(self, value: bytes) -> None:
+        h = xxhash.xxh64_intdigest(value)
+        if h < self.bound:
+            self.held[h] = value
+            if len(self.held) > 2 * self.most:
+                self._cut()
+
+    def _cut(self) -> None:
+        self.held = dict(sorted(self.held.items())[: self.most])
+        if len(self.held) == self.most:
+            self.bound = max(self.held)
+
+    def strings(self) -> list[tuple[int, str]]:
+        self._cut()
+        return [(h - (1 << 63), value.decode()) for h, value in self.held.items()]
+
+
 def learn(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     settings = settings or Settings()
-    total = max(1, docs.count())
-    slots = 1 << 20
-    sampled = F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)) < max(1, int(slots * min(1.0, settings.sample_docs / total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {kind: _Smallest(settings.max_strings) for kind in ("", *KINDS)}
         for batch in batches:
-            kinds, values = [], []
-            ordinary = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for first, end, raw, offsets in kernel.slices(batch.column(0)):
+            for _, _, raw, offsets in kernel.slices(batch.column(0)):
                 read = worth_reading(raw, offsets)
-                found = {t: x for t, x in candidates(raw, offsets).items() if ordinary[first + t]} if ordinary[first:end].any() else {}
-                for t in sorted(read | {*found}):
-                    text = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8")
-                    base = base_spans(text) if t in read else []
-                    for kind, s, e in base:
-                        kinds.append(kind)
-                        values.append(_ASSIGN.match(text[s:e]).group(2) if kind == "assign" else text[s:e])
-                    data = text.encode()
-                    for s, e in found.get(t, ()):
-                        a, b = len(data[:s].decode()), len(data[:e].decode())
-                        if not any(x < b and a < y for _, x, y in base):
-                            kinds.append("")
-                            values.append(data[s:e].decode())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
-
-    found = persisted(bounded_batches(docs).select(F.col(text_col).alias("text"), sampled.alias("sampled")).mapInArrow(kernel.lean(run), "kind string, value string").distinct(), "secrets")
-    # Hashes below a bound that four times max_strings of a kind are expected under; the smallest max_strings are among them.
-    bound = F.lit((1 << 63) - 1)
-    for r in found.groupBy("kind").count().collect():
-        share = 4 * settings.max_strings / r["count"]
-        bound = F.when(F.col("kind") == r["kind"], int(share * (1 << 64)) - (1 << 63)).otherwise(bound) if share < 1 else bound
-    rows = found.withColumn("h", F.xxhash64("value")).where(F.col("h") <= bound).collect()
+                found = candidates(raw, offsets)
+                for t in read | {*found}:
+                    data = raw[offsets[t] : offsets[t + 1]]
+                    base = []
+                    if t in read:
+                        text = data.tobytes().decode("utf-8")
+                        base = base_spans(text)
+                        for kind, s, e in base:
+                            own[kind].add((_ASSIGN.match(text, s).group(2) if kind == "assign" else text[s:e]).encode())
+                    for (s, e), _ in clear_of(found.get(t, []), base, data):
+                        own[""].add(data[s:e].tobytes())
+        rows = [(kind, h, value) for kind, x in own.items() for h, value in x.strings()]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["kind", "h", "value"])
+
+    rows = bounded_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(kernel.lean(run), "kind string, h long, value string")
+    # What is among the smallest of all is among the smallest of its task, and of its share.
+    for by in (["kind", F.pmod("h", F.lit(64))], ["kind"]):
+        rows = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h", "value"))).where(F.col("place") <= settings.max_strings).drop("place")
+    rows = rows.collect()  # four times max_strings at most
     strings: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["kind"], r["h"], r["value"])):
         own = strings.setdefault(r["kind"], [])
-        if len(own) < settings.max_strings:
-            own.append(classes(r["value"]))
+        own.append(classes(r["value"]))
     formats = {k: Automaton(strings[k], settings.alpha) for k in KINDS if len(strings.get(k, ())) >= LEAST}
     if not formats:
         return Model(formats, None, math.inf)
@@ -283,16 +300,25 @@ def _threshold(formats: dict[str, Automaton], background: Automaton | None, sett
     return max(LEAST_RATIO, edge + 0.05)
 
 
-def added_spans(text: str, found: list[tuple[int, int]], base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:
-    """found: byte spans of candidates."""
-    out = []
-    plain = text.isascii()
-    data = b"" if plain else text.encode()
+def clear_of(found: list[tuple[int, int]], base: list[tuple[str, int, int]], data: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+    """Byte spans of candidates and their spans in code points, but for those that overlap a base span."""
+    if not found:
+        return
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     for s, e in found:
-        a, b = (s, e) if plain else (len(data[:s].decode()), len(data[:e].decode()))
-        if any(x < b and a < y for _, x, y in base):
-            continue
-        score, kind = model.score(text[a:b])
+        a, b = int(lead[s]), int(lead[e])
+        before = bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
+            yield (s, e), (a, b)
+
+
+def added_spans(data: np.ndarray, found: list[tuple[int, int]], base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:
+    """data: the bytes of a text; found: byte spans of candidates."""
+    out = []
+    for (s, e), (a, b) in clear_of(found, base, data):
+        score, kind = model.score(data[s:e].tobytes().decode())
         if score > model.threshold:
             out.append((kind, a, b))
     return out
@@ -311,9 +337,9 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 read = worth_reading(raw, offsets)
                 found = candidates(raw, offsets) if shared.value.formats else {}
                 for t in read | {*found}:
-                    text = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8")
-                    own = base_spans(text) if t in read else []
-                    base[first + t], added[first + t] = own, added_spans(text, found.get(t, []), own, shared.value)
+                    data = raw[offsets[t] : offsets[t + 1]]
+                    own = base_spans(data.tobytes().decode("utf-8")) if t in read else []
+                    base[first + t], added[first + t] = own, added_spans(data, found.get(t, []), own, shared.value)
             as_column = lambda lists: pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in lists], pa.list_(span))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_column(base), as_column(added)], names=["id", "base", "added"])
 
