@@ -3,13 +3,16 @@
 Features are indicators of hashed word n-grams and of byte trigrams of a text.
 Each is scaled by the log of the ratio of its smoothed shares in the two classes.
 A linear model with hinge loss is then fitted by dual coordinate descent, and a
-logistic curve, fitted on rows that the descent did not see, maps margins to
-0..1.  Fitting takes a bounded sample of labelled rows (`max_rows`, those with
-the smallest hashes of their ids); scoring reads every text whole.
+logistic curve maps margins to 0..1; it is fitted on rows that neither the ratios
+nor the descent saw.  Fitting takes a bounded sample of labelled rows: those with the
+smallest hashes of their ids, `max_rows` of them, and fewer if their texts are so long
+that they have more than `max_indicators` features together.  Scoring reads every
+text whole.
 
 Edge cases: a null or empty text has no features and gets the score of the
 intercept.  Labels that are null, and labelled ids without a document, are not
-learned from; an id that is labelled several times counts each time.  Without
+learned from; an id that is labelled several times, or that several documents
+have, counts each time, in the order of the label and the features.  Without
 training rows of both classes every score is the share of label 1, or 0.5
 without any.  Extra columns are ignored by `score` and kept by `with_scores`.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm import text as kernel
-from tessera.llm.common import bounded_batches, fold
+from tessera.llm.common import bounded_batches, fold, persisted
 
 #: Hash buckets of features; the model has a weight for each.
 BUCKETS = 1 << 18
@@ -41,6 +44,8 @@ class Settings:
     repeat_ngram: int = 3
     #: Labelled rows that the model is fitted on at most, and the share of them kept for the logistic curve.
     max_rows: int = 6000
+    #: Features of these rows together at most, for the driver's memory; the first row counts whatever it has.
+    max_indicators: int = 12_000_000
     curve_share: float = 0.25
     smoothing: float = 1.0
     cost: float = 1.0
@@ -90,7 +95,7 @@ def indicators(raw: np.ndarray, offsets: np.ndarray, settings: Settings) -> tupl
 
 
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col: str, folds: int, held_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, offsets and buckets of at most max_rows labelled rows, those with the smallest hashes of their ids."""
+    """Labels, offsets and buckets of at most max_rows labelled rows and max_indicators buckets: the rows with the smallest hashes of their ids."""
     own = labels.select(F.col("doc_id").alias("__l"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     own = own.where(fold(F.col("__l"), folds) != held_out).orderBy(F.xxhash64("__l"), "__l", "label").limit(settings.max_rows)
     # The ids are max_rows at most, so they may be broadcast whatever the tables hold.
@@ -102,11 +107,26 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col: s
                 got, at = indicators(raw, offsets, settings)
                 yield pa.RecordBatch.from_arrays([batch.column(1)[first:end], batch.column(2)[first:end], kernel.lists(got.astype(np.int32), at, pa.int32())], names=["h", "label", "got"])
 
-    table = rows.mapInArrow(kernel.lean(run), "h long, label int, got array<int>").toArrow().sort_by("h")
-    listed = table.column(2).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    hashed = persisted(rows.mapInArrow(kernel.lean(run), "h long, label int, got array<int>").withColumn("key", F.xxhash64("got")), "labelled")
+    order = ["h", "label", "key"]
+    sizes = hashed.select(*order, F.size("got").alias("n")).orderBy(*order).limit(settings.max_rows).toArrow()
+    admitted = max(1, int(np.searchsorted(np.cumsum(np.asarray(sizes.column(3), np.int64)), settings.max_indicators, side="right"))) if sizes.num_rows else 0
+    if not admitted:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+    last = [sizes.column(c)[min(admitted, sizes.num_rows) - 1].as_py() for c in range(3)]
+    own = hashed.where(F.struct(*order) <= F.struct(*(F.lit(x).cast(hashed.schema[c].dataType).alias(c) for c, x in zip(order, last, strict=True))))
+    table = own.orderBy(*order).limit(admitted).select(*order, "got").toArrow().sort_by([(c, "ascending") for c in order])
+    listed = table.column(3).combine_chunks()
     return np.asarray(table.column(1)), np.concatenate([[0], np.cumsum(np.asarray(listed.value_lengths()))]).astype(np.int64), np.asarray(listed.flatten())
 
 
+def ratios(at: np.ndarray, got: np.ndarray, label: np.ndarray, settings: Settings) -> np.ndarray:
+    """By bucket: log of the ratio of its smoothed shares in the rows of label 1 and in those of label 0."""
+    of = np.repeat(label, np.diff(at))
+    counts = [np.bincount(got[of == c], minlength=BUCKETS) + settings.smoothing for c in (0, 1)]
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
 def descend(at: np.ndarray, got: np.ndarray, scale: np.ndarray, label: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for hinge loss on rows of scaled indicators; weights and bias.
 
@@ -158,10 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, la
     if not rows_of.all():
         p = np.clip(rows_of[1] / rows_of.sum(), 1e-3, 1 - 1e-3) if rows_of.sum() else 0.5
         return Model(np.zeros((BUCKETS, 2), np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
-    of = np.repeat(label, np.diff(at))
-    counts = [np.bincount(got[of == c], minlength=BUCKETS) + settings.smoothing for c in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     n = max(1, int(len(label) * (1 - settings.curve_share)))
+    ratio = ratios(at[: n + 1], got[: at[n]], label[:n], settings)
     weights, bias = descend(at[: n + 1], got, ratio, label[:n], settings)
     scaled = np.stack([ratio * weights, ratio * ratio], axis=1).astype(np.float32)
     slope, shift = _curve(margins(got[at[n] :], at[n:] - at[n], scaled, bias), label[n:])
