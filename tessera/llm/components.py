@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import persisted
+from tessera.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of the edges (u, v), none of which is null."""
-    now = persisted(edges.where("u != v").select("u", "v").distinct(), "edges")
+    rounds = Scratch()
+    now = rounds.persisted(edges.where("u != v").select("u", "v").distinct(), "edges")
     print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = None
     while True:
-        now = persisted(_small_star(_large_star(now)), "edges")
+        now = rounds.persisted(_small_star(_large_star(now)), "edges")
+        rounds.discard(keep=1)
         new = print_of(now)
         if new == mark:
             break

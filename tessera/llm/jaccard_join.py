@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as kernel
 from tessera.llm.bits import bit_table, passes
-from tessera.llm.common import bounded_batches, persisted
+from tessera.llm.common import Scratch, bounded_batches, persisted
 from tessera.llm.components import components
 
 #: Tokens in the list of frequent ones at most, and of the second class at most.
@@ -236,7 +236,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(kernel.lean(run), "a long, b long")
 
 
-def _sets_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def _sets_of(classes: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """cls and tokens of the wanted classes (a column cls), and of a few others, read from the texts once more."""
     wanted = classes.sparkSession.sparkContext.broadcast(bit_table(classes, "cls"))
 
@@ -255,12 +255,12 @@ def _sets_of(classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), kernel.lists(np.concatenate([np.zeros(0, np.uint64), *sets]), at)], names=["cls", "tokens"])
 
-    return persisted(docs.select("text").mapInArrow(kernel.lean(run), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+    return scratch.persisted(docs.select("text").mapInArrow(kernel.lean(run), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) that link, by whole sets."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), docs, s)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), docs, s, scratch)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(100 * common >= s.percent * (F.size("ta") + F.size("tb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -300,18 +300,18 @@ def spanning_links(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray,
     return out
 
 
-def _across(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def _across(rows: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """Links (u, v) between different roots in large buckets.
 
     Buckets of one pivot, which mostly hold the same classes, are one group (grp,
     cls, root); its members are dealt into blocks, and each pair of blocks is
     compared in one task, which returns only links that join what is apart.
     """
-    rows = persisted(rows.distinct(), "groups")
+    rows = scratch.persisted(rows.distinct(), "groups")
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     own = rows.join(sizes.select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "grp")
-    own = persisted(own.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "blocks")
-    sets = _sets_of(own.select("cls"), docs, s)
+    own = scratch.persisted(own.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "blocks")
+    sets = _sets_of(own.select("cls"), docs, s, scratch)
     # A row goes to each pair of blocks that its own is in; a group of one block is a pair with itself.
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "root").join(sets, "cls")
@@ -344,28 +344,30 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     place = np.argsort(token)
     order = spark.sparkContext.broadcast((token[place], place.astype(np.int64), paired))
 
+    scratch = Scratch()
     postings = _postings(docs, order, s).repartition("sig").sortWithinPartitions("sig", "cls")
-    buckets = persisted(_met(postings), "buckets")
-    sketches = persisted(own.where("n > 0").join(buckets.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    buckets = scratch.persisted(_met(postings), "buckets")
+    sketches = scratch.persisted(own.where("n > 0").join(buckets.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
 
     fits = 100 * F.least("n", "m") >= s.percent * F.greatest("n", "m")
     pivots = buckets.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("p")).select("sig", F.col("p.cls").alias("a"), F.col("p.n").alias("m"))
     starred = buckets.join(pivots, "sig").where((F.col("cls") != F.col("a")) & fits).select("a", F.col("cls").alias("b")).distinct()
-    links = persisted(_verified(persisted(_sketched(starred, sketches, s), "star-pairs"), docs, s), "links")
+    links = scratch.persisted(_verified(scratch.persisted(_sketched(starred, sketches, s), "star-pairs"), docs, s, scratch), "links")
 
-    roots = persisted(components(links), "roots")
+    roots = scratch.persisted(components(links), "roots")
     rooted = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("sig", "cls", "n", F.coalesce("root", "cls").alias("root"))
     open_ = rooted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    sizes = persisted(open_.select("sig", "members"), "open")
-    rooted = persisted(rooted.join(sizes, "sig").select("sig", "cls", "n", "root", "members"), "rooted")
+    sizes = scratch.persisted(open_.select("sig", "members"), "open")
+    rooted = scratch.persisted(rooted.join(sizes, "sig").select("sig", "cls", "n", "root", "members"), "rooted")
     few = rooted.where(F.col("members") <= SMALL)
     left, right = few.select("sig", F.col("cls").alias("a"), "n", F.col("root").alias("ra")), few.select("sig", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
     direct = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    rest = persisted(_sketched(direct, sketches, s), "rest-pairs")
+    rest = scratch.persisted(_sketched(direct, sketches, s), "rest-pairs")
     grouped = rooted.where(F.col("members") > SMALL).join(pivots, "sig").select(F.col("a").alias("grp"), "cls", "root")
-    more = persisted(_verified(rest, docs, s).union(_across(grouped, docs, s)), "links")
+    more = scratch.persisted(_verified(rest, docs, s, scratch).union(_across(grouped, docs, s, scratch)), "links")
 
     whole = persisted(components(links.union(more)).withColumnRenamed("node", "cls"), "components")
+    scratch.discard()
     placed = own.select("id", "key", "n", "cls").join(whole, "cls", "left").select("id", "key", "n", "cls", F.coalesce("root", "cls").alias("root"))
     # Written out, so that the join can split a component that holds much of the corpus.
     least = persisted(placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least")), "least")
