@@ -37,14 +37,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm import text as kernel
 from tessera.llm.common import bounded_batches
 
-#: The file of the vocabulary; it must be readable at this path on every executor.
+#: The file of the vocabulary, at any path that the driver or Spark can read; executors get a copy of it.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 SLICE_BYTES = 1 << 18
@@ -77,6 +79,7 @@ class Vocabulary:
                 usable.append(i)
         self.is_byte = np.zeros(n, bool)
         self.is_byte[self.byte_ids] = True
+        self.plain = pa.array([bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace("▁", " ").encode() for i, p in enumerate(self.pieces)], pa.large_binary())
         rank = np.array([min(-model.get_score(i), n) for i in range(n)])
         self.log_weight = -alpha * np.log(np.maximum(rank, 0) + 2.0) - np.log(np.log(n))
         self.byte_weight = -alpha * np.log(n + 2.0) - np.log(np.log(n))
@@ -124,6 +127,12 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
 
 
+def _handed_out(spark: SparkSession, model_file: str) -> str:
+    """Has executors fetch the file; its name for SparkFiles."""
+    spark.sparkContext.addFile(model_file)
+    return model_file.rstrip("/").rsplit("/", 1)[-1]
+
+
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers first .. first + count - 1 of each row, one after the other."""
     total = int(count.sum())
@@ -156,7 +165,7 @@ class Lattice:
     """
 
     #: Edges from which the lattice is emptied before it takes another slice.
-    MOST_EDGES = 4_000_000
+    MOST_EDGES = 3_500_000
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -165,7 +174,7 @@ class Lattice:
     def _empty(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._sizes: dict[str, int] = {}
-        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("edge", np.int64), ("degree", np.int32), ("size", np.int8), ("piece", np.int32), ("log", np.float32), ("until", np.float32)):
+        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("edge", np.int64), ("degree", np.int32), ("size", np.int8), ("piece", np.int32), ("log", np.float64), ("until", np.float32)):
             setattr(self, name, np.zeros(1024, kind))
             self._sizes[name] = 0
 
@@ -440,9 +449,10 @@ _SAMPLE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusio
 def encode(docs: DataFrame, settings: Settings | None = None, model_file: str = MODEL_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and samples: distinct segmentations with ids, log_prob, perturbed and inclusion, in order of perturbed."""
     settings = settings or Settings()
+    file = _handed_out(docs.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_file, settings.alpha)
+        vocab = vocabulary(SparkFiles.get(file), settings.alpha)
         lattice = Lattice(vocab)
         for batch in batches:
             keys = np.asarray(batch.column(1)).view(np.uint64)
@@ -485,14 +495,38 @@ def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
     return data.decode("utf-8", "replace").replace("▁", " ")[1:]
 
 
+def decode_lists(ids: pa.Array, vocab: Vocabulary) -> pa.Array:
+    """decode_ids of each list of a column; null for null."""
+    flat = ids.flatten()
+    at = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))])
+    joined = vocab.plain.take(flat)
+    ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(joined.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(flat) else np.zeros(0, np.uint8)
+    cut = (ends - ends[0])[at]
+    head = cut[:-1][np.diff(cut) > 0]
+    if (data[head] == 32).all():  # the space before each text
+        keep = np.ones(len(data), bool)
+        keep[head] = False
+        cut = cut - np.concatenate([[0], np.cumsum(np.diff(cut) > 0)])
+        texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data[keep].tobytes()))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no text
+            pass
+        else:
+            return pc.if_else(ids.is_valid(), texts, None).cast(pa.string())
+    return pa.array([None if x is None else decode_ids(x, vocab) for x in ids.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL_FILE, text_col: str = "text") -> DataFrame:
     """encoded with the column text_col, which replaces one of that name: the text of the ids; null for null."""
     names = [c for c in encoded.columns if c != text_col]
+    file = _handed_out(encoded.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_file, Settings.alpha)
+        vocab = vocabulary(SparkFiles.get(file), Settings.alpha)
         for batch in batches:
-            texts = [None if ids is None else decode_ids(ids, vocab) for ids in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string())], names=[*names, text_col])
+            texts = decode_lists(batch.column(len(names)), vocab)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), texts], names=[*names, text_col])
 
     return bounded_batches(encoded).select(*names, F.col(ids_col).alias("__ids")).mapInArrow(kernel.lean(run), StructType([*(encoded.schema[c] for c in names), StructField(text_col, StringType())]))

@@ -36,7 +36,7 @@ def test_all_candidates_give_the_exact_result(spark):
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 360)]  # many copies of one vector
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
-    got = found(ann.search(df, F.col("id") % 20 == 0, ann.Settings(candidates=1.0, block=64)))
+    got = found(ann.search(df, F.col("id") % 20 == 0, ann.Settings(effort=float("inf"), block=64, queries=8)))
     assert got == brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
 
 
@@ -46,7 +46,7 @@ def test_recall_of_a_share_of_candidates(spark):
     x = centers[rng.integers(30, size=3000)] + 0.5 * rng.normal(size=(3000, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
-    got = found(ann.search(df, F.col("id") % 20 == 0, ann.Settings(candidates=0.3, least_candidates=100)))
+    got = found(ann.search(df, F.col("id") % 20 == 0, ann.Settings(effort=1.0)))
     want = brute(rows, range(0, 3000, 20), 20)
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
     assert recall > 0.9
@@ -62,15 +62,51 @@ def test_vectors_that_take_no_part(spark):
     assert found(ann.search(df.where("vec_id = 2"), F.lit(True))) == {}
 
 
-def test_walk_visits_pairs_by_summed_distance():
+@pytest.mark.parametrize("budget", [1, 7, 40, 150, 10_000])
+@pytest.mark.parametrize("spread", [1.0, 0.01, 30.0])
+def test_walk_passes_the_pairs_of_the_lowest_sums(budget, spread):
     rng = np.random.default_rng(2)
-    left, right, q = rng.normal(size=(5, 3)), rng.normal(size=(4, 3)), rng.normal(size=6)
-    index = ann.Index(left, right, np.ones(20, np.int64), 20)
-    visited = ann.walk(index, q)
-    distance = [-(left[c // 4] @ q[:3]) - (right[c % 4] @ q[3:]) for c in visited]
-    assert sorted(visited) == list(range(20))
-    assert distance == sorted(distance)
-    assert len(ann.walk(ann.Index(left, right, np.ones(20, np.int64), 3), q)) == 3
+    a, b = rng.normal(size=23) * spread, np.round(rng.normal(size=17), 1)  # ties within b
+    counts = rng.integers(0, 3, size=(23, 17)).astype(np.int32)
+    index = ann.Index(np.zeros((23, 1)), np.zeros((17, 1)), counts, np.zeros(391, np.int32), budget)
+    cut, passed = ann.walk(index, a, b)
+    sums = (a[:, None] + b[None, :]).ravel()
+    order = np.argsort(sums, kind="stable")
+    reached = np.cumsum(counts.ravel()[order])
+    if reached[-1] < budget:
+        want = set(order.tolist())
+        assert cut == float("inf")
+    else:
+        assert cut == pytest.approx(sums[order[np.searchsorted(reached, budget)]])
+        want = set(np.flatnonzero(sums <= cut + 1e-12).tolist())
+    assert sorted(passed.tolist()) == sorted(c for c in want if counts.ravel()[c])
+
+
+def test_ids_with_several_vectors_are_several_queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(100)] + [(0, rng.normal(size=6).tolist()), (0, None)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    got = ann.search(df, F.col("id") == 0, ann.Settings(k=5, effort=float("inf"))).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault(r.query_hash, []).append((r.vec_id, round(r.score, 9)))
+    x = np.array([v for _, v in rows[1:100]], np.float32).astype(np.float64)
+    want = []
+    for q in (rows[0][1], rows[100][1]):
+        score = x @ np.array(q, np.float32).astype(np.float64)
+        want.append([(int(i) + 1, round(float(score[i]), 9)) for i in np.argsort(-score)[:5]])
+    assert sorted(lists.values()) == sorted(want)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_the_production_settings_on_embeddings(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = found(ann.search(df, F.col("id") % 20 == 0))
+    want = brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    assert set(got) == set(want)
+    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+    assert recall >= 0.9
 
 
 URLS = [
