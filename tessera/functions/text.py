@@ -40,3 +40,9 @@ def is_hidden(name: Column) -> Column:
 
 def relative_to(path: Column, root: str) -> Column:
     return F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
+
+
+def decoded(content: Column) -> Column:
+    """The text of UTF-8 bytes; null if they are none."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text)

@@ -7,6 +7,8 @@ type, {documents} and {events} are the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,33 @@ MANIFESTS = {
     "cargo": f"""case when doc_id % 19 = 0 then '[dependencies' else concat('[dependencies]', {_N}, 'Axum = "0.7"', {_N}, 'Lib', cast(doc_id % 15 as {{str}}), ' = "1"', {_N}, '[dev-dependencies]', {_N}, 'tokio = "1"', {_N}) end""",
 }
 
+#: File names of the manifests, by parser.
+MANIFEST_NAMES = {"json": "package.json", "requirements": "requirements.txt", "gradle": "build.gradle", "gomod": "go.mod", "maven": "pom.xml", "pyproject": "pyproject.toml", "cargo": "Cargo.toml"}
+
+#: Java sources, and the syntax nodes that they have.
+JAVA = """concat('package p', cast(doc_id % 7 as {str}), '; import lib.x', cast(doc_id % 13 as {str}), '; class C', cast(doc_id % 97 as {str}),
+  case when doc_id % 3 = 0 then concat(' extends C', cast((doc_id * 7) % 97 as {str})) else '' end, case when doc_id % 5 = 0 then concat(' implements I', cast(doc_id % 17 as {str}), ', I', cast((doc_id * 5) % 17 as {str})) else '' end,
+  ' {{ int f', cast(doc_id % 11 as {str}), '; void m', cast(doc_id % 89 as {str}), '() {{ m', cast((doc_id * 3) % 89 as {str}), '(); C', cast((doc_id * 5) % 97 as {str}), ' c = new C', cast((doc_id * 5) % 97 as {str}), '(); }} }} ',
+  case when doc_id % 4 = 0 then concat('interface I', cast(doc_id % 17 as {str}), ' {{ void m', cast(doc_id % 31 as {str}), '(); }}') else '' end)"""
+_NODE_ROWS = (
+    (0, "package_declaration", "'p', doc_id % 7", "true"),
+    (1, "import_declaration", "'lib.x', doc_id % 13", "true"),
+    (2, "class_declaration", "'C', doc_id % 97", "true"),
+    (3, "field_declaration", "'f', doc_id % 11", "true"),
+    (4, "method_declaration", "'m', doc_id % 89", "true"),
+    (5, "method_invocation", "'m', (doc_id * 3) % 89", "true"),
+    (6, "object_creation_expression", "'C', (doc_id * 5) % 97", "true"),
+    (7, "interface_declaration", "'I', doc_id % 17", "doc_id % 4 = 0"),
+    (8, "method_declaration", "'m', doc_id % 31", "doc_id % 4 = 0"),
+)
+JAVA_NODES = " union all ".join(
+    f"""select concat('f', cast(doc_id as {{str}})) as file, {pre} as pre, '{kind}' as type, concat({name}) as name,
+  {"case when doc_id % 3 = 0 then concat('C', (doc_id * 7) % 97) end" if pre == 2 else "cast(null as {str})"} as superclass,
+  {"case when doc_id % 5 = 0 then concat('I', doc_id % 17) end" if pre == 2 else "cast(null as {str})"} as first_interface,
+  {"case when doc_id % 5 = 0 then concat('I', (doc_id * 5) % 17) end" if pre == 2 else "cast(null as {str})"} as second_interface from {{documents}} where {when}"""
+    for pre, kind, name, when in _NODE_ROWS
+)
+
 #: Names that dependencies of frameworks and others are made of, by turns of the id.
 DEPENDENCIES = """
 select doc_id, case doc_id % 5 when 0 then 'javascript' when 1 then 'python' when 2 then 'java' when 3 then 'go' else 'rust' end as ecosystem,
@@ -73,6 +102,20 @@ def manifests(spark: SparkSession, sf_dir: str, parser: str) -> DataFrame:
     return source.select("doc_id", F.expr(MANIFESTS[parser].format(str="string")).alias("content"))
 
 
+def all_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, name and content: a manifest of each kind for each document, one that can't be read, and a file that is none."""
+    parts = [manifests(spark, sf_dir, p).select(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit(f"/{name}")).alias("path"), F.lit(name).alias("name"), "content") for p, name in MANIFEST_NAMES.items()]
+    parts.append(parts[0].select("path", F.lit("build.gradle.kts").alias("name"), F.lit(None).cast("string").alias("content")))
+    parts.append(parts[0].select("path", F.lit("Package.json").alias("name"), "content"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return source.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.expr(JAVA.format(str="string")).alias("content"))
+
+
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, sf_dir, DEPENDENCIES, "documents")
 

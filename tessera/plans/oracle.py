@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from tessera.functions.classify import HEAD_BYTES
 from tessera.model import FILE_CATEGORIES
+from tessera.operators.code_graph import EdgeBuilder
 from tessera.plans import inputs
-from tessera.plans.queries import LARGE, LIMITS
+from tessera.plans.queries import LARGE, LIMITS, USER_RULES
 from tessera.rules import CLASSIFICATION, FRAMEWORKS, MANIFESTS
 
 
@@ -25,9 +26,13 @@ def _category_test(rule: dict[str, list[str]]) -> str:
     return " or ".join(tests)
 
 
-def _files() -> str:
+def _values(rows) -> str:
+    return ", ".join("(" + _quoted(row) + ")" for row in rows)
+
+
+def _files(rules=CLASSIFICATION) -> str:
     """A with clause that ends with the table f."""
-    test = {k: _category_test(v) for k, v in CLASSIFICATION.items()}
+    test = {k: _category_test({part: [v.lower() for v in values] for part, values in rules.get(k, {}).items()}) or "false" for k in CLASSIFICATION}
     return f"""v as ({inputs.duck(inputs.FILES)}),
 g as (select *, list_last(string_split(rel_path, '/')) as name, lower(rel_path) as low, lower(list_last(string_split(rel_path, '/'))) as low_name from v),
 f as (select doc_id, rel_path as relative_path, name, size, language, is_binary, is_symlink,
@@ -93,10 +98,10 @@ def _frameworks() -> str:
 j as (select doc_id, ecosystem, name as dependency, framework from n join w on ecosystem = of_ecosystem and (list_contains(names, lower(name)) or len(list_filter(prefixes, lambda p: starts_with(lower(name), p))) > 0))"""
 
 
-def _facts() -> str:
+def _facts(nodes: str = inputs.NODES) -> str:
     """A with clause that ends with a table for each kind of fact."""
     seen = lambda *types: f"last_value(case when type in ({_quoted(types)}) then name end ignore nulls) over w"
-    return f"""a as ({inputs.duck(inputs.NODES)}),
+    return f"""a as ({inputs.duck(nodes)}),
 s as (select *, {seen('package_declaration')} as pkg, {seen('class_declaration')} as cls, {seen('class_declaration', 'interface_declaration')} as typ, {seen('method_declaration')} as mth from a
   window w as (partition by file order by pre rows between unbounded preceding and current row)),
 packages as (select file, pre, name from s where type = 'package_declaration'),
@@ -127,6 +132,84 @@ def _edges() -> dict[str, str]:
     }
 
 
+#: Languages of the names that occur (fixed values), by what the name ends with.
+_LANGUAGES = (("requirements.txt", "Text only"), ("argo.toml", "TOML"), (".py", "Python"), (".js", "JavaScript"), (".java", "Java"), (".md", "Markdown"), (".json", "JSON"), (".go", "Go"))
+
+
+def _extracted() -> str:
+    """A select of name, ecosystem and source_file over all manifests."""
+    ecosystem = {m["filename"]: m["ecosystem"] for m in MANIFESTS}
+    own = _dependencies()
+    return " union all ".join(f"select name, '{ecosystem[name]}' as ecosystem, concat('r', doc_id, '/{name}') as source_file from ({own[f'deps_{parser}']}) as x_{parser}" for parser, name in inputs.MANIFEST_NAMES.items())
+
+
+def _told(dependencies: str) -> str:
+    """Names of the frameworks that a select of name and ecosystem tells."""
+    rows = ", ".join(f"('{f.name}', '{f.ecosystem}', [{_quoted(f.dependencies)}]::varchar[], [{_quoted(f.dependency_prefixes)}]::varchar[])" for f in FRAMEWORKS)
+    return f"select distinct framework as name from ({dependencies}) n join (values {rows}) w(framework, of_ecosystem, names, prefixes) on n.ecosystem = of_ecosystem and (list_contains(names, lower(n.name)) or len(list_filter(prefixes, lambda p: starts_with(lower(n.name), p))) > 0)"
+
+
+def _graph(nodes: str) -> tuple[str, str, str]:
+    """A with clause, and selects of all nodes and all edges in one shape."""
+    keys = (("Package", "packages", "null"), ("Class", "classes", "package"), ("Interface", "interfaces", "package"), ("Method", "methods", "parent"), ("Field", "fields", "parent"))
+    all_nodes = " union all ".join(f"select distinct '{label}' as label, cast({scope} as varchar) as scope, name from {table}" for label, table, scope in keys)
+    parts = []
+    for method, kind, source, target in EdgeBuilder.KINDS:
+        first = 1 if source == "Package" else 2
+        names = _EDGE_COLUMNS[method]
+        scope = names[0] if first == 2 else "null"
+        parts.append(f"select '{kind}' as type, '{source}' as src_label, cast({scope} as varchar) as src_scope, {names[first - 1]} as src_name, '{target}' as dst_label, {names[first]} as dst_scope, {names[first + 1]} as dst_name from ({_edges()[method]}) as y_{method}")
+    return f"with {_facts(nodes)} ", all_nodes, " union all ".join(parts)
+
+
+#: Key columns of each kind of edge, source first.
+_EDGE_COLUMNS = {
+    "contains_class": ("package_name", "class_package", "class_name"),
+    "contains_interface": ("package_name", "interface_package", "interface_name"),
+    "class_declares": ("class_package", "class_name", "method_parent", "method_name"),
+    "interface_declares": ("interface_package", "interface_name", "method_parent", "method_name"),
+    "has_field": ("class_package", "class_name", "field_parent", "field_name"),
+    "extends": ("child_package", "child_name", "parent_package", "parent_name"),
+    "implements": ("class_package", "class_name", "interface_package", "interface_name"),
+    "calls": ("caller_parent", "caller_name", "callee_parent", "callee_name"),
+    "creates": ("method_parent", "method_name", "class_package", "class_name"),
+}
+
+
+def _more(files: str) -> dict[str, str]:
+    """SQL of the loaders, of scans, of whole models and of whole graphs."""
+    names = sorted({*_TABLES} - {"labels"})
+    java, java_nodes, java_edges = _graph(inputs.JAVA_NODES)
+    derived, nodes, edges = _graph(inputs.NODES)
+    own = _dependencies()
+    ecosystem = {m["filename"]: m["ecosystem"] for m in MANIFESTS}
+    # Manifests among the derived files; the others occur under no name of a manifest.
+    found = " union all ".join(f"select x_{p}.name, '{ecosystem[n]}' as ecosystem from ({own[f'deps_{p}']}) as x_{p} join f on f.doc_id = x_{p}.doc_id and f.name = '{n}'" for p, n in inputs.MANIFEST_NAMES.items())
+    kinds = ("packages", "imports", "classes", "interfaces", "methods", "fields", "calls", "creations", "extends", "implements")
+    return {
+        "rules_classification": f"select * from (values {_values((c, p, v) for c, parts in CLASSIFICATION.items() for p, values in parts.items() for v in values)}) t(category, part, value)",
+        "rules_manifests": f"select * from (values {_values((m['filename'], m['ecosystem'], m['parser']) for m in MANIFESTS)}) t(filename, ecosystem, parser)",
+        "rules_frameworks": f"select * from (values {_values((f.name, f.ecosystem, ','.join(f.dependencies), ','.join(f.dependency_prefixes)) for f in FRAMEWORKS)}) t(name, ecosystem, dependencies, dependency_prefixes)",
+        "file_user_rules": f"with {_files(USER_RULES)} select doc_id, category from f",
+        "ignore_custom": files + f"select doc_id, relative_path from f where not ({_IGNORE.format(p='relative_path')})",
+        "text_decode": "select doc_id, case when doc_id % 4 = 0 then null else length(coalesce(text, '')) end as n_chars from documents",
+        "scan_tables": f"select concat(n, '.parquet') as relative_path, concat(n, '.parquet') as name, '.parquet' as extension, false as is_hidden, false as is_symlink, true as is_binary, false as is_large, 'asset' as category from (values {_values((n,) for n in names)}) t(n)",
+        "language_detection": files + f"select doc_id, name, case {' '.join(f"when suffix(name, '{end}') then '{language}'" for end, language in _LANGUAGES)} end as language from f",
+        "dependency_extract": _extracted(),
+        "framework_detect": _told(_extracted()),
+        "parser_registered": "select unnest(['a', concat('b', doc_id % 3)]) as name, 'own' as ecosystem, cast(doc_id as varchar) as source_file from documents",
+        "repository_build": files + f"select 'derived' as name, count(*) as total_files, (select count(*) from d) as total_directories, count(*) filter (where category = 'source') as source_files, count(*) filter (where is_binary) as binary_files, (select count(*) from ({found}) a) as total_dependencies, (select count(distinct ecosystem) from ({found}) b) as ecosystems, (select string_agg(name, ',' order by name) from ({_told(found)}) c) as frameworks from f",
+        "parsed_files": f"with {_facts()} select file, kind, count(*) as facts from ({' union all '.join(f"select file, '{k}' as kind from {k}{'_' if k in ('extends', 'implements') else ''}" for k in kinds)}) x group by file, kind",
+        "java_nodes": f"select file, pre, type, name, superclass, concat_ws(',', first_interface, second_interface) as interfaces from ({inputs.duck(inputs.JAVA_NODES)}) x",
+        "graph_nodes": java + java_nodes,
+        "graph_edges": java + java_edges,
+        "graph_merge": derived + f"select label as kind, count(*) as stored from ({nodes}) x group by label union all select type, count(*) from ({edges}) y group by type",
+    }
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def oracle_sql() -> dict[str, str]:
     files = f"with {_files()} "
     languages = "(select string_agg(language || '=' || n, ',' order by language) from (select language, count(*) as n from f where coalesce(language, '') <> '' group by language) x)"
@@ -149,6 +232,7 @@ def oracle_sql() -> dict[str, str]:
     }
     out |= {name: _limited(name) for name in LIMITS}
     out |= _dependencies()
+    out |= _more(files)
     facts = f"with {_facts()} "
     for name in ("packages", "imports", "classes", "interfaces", "methods", "fields", "calls", "creations", "extends", "implements"):
         out[f"ast_{name}"] = facts + f"select * from {name}{'_' if name in ('extends', 'implements') else ''}"

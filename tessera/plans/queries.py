@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import rules, sinks
 from tessera.functions import classify, text
 from tessera.functions.language import with_language
 from tessera.functions.manifests import ParserRegistry
-from tessera.model import ScanLimits
+from tessera.model import RepositorySource, ScanLimits
 from tessera.operators import ast_facts, code_graph, metadata, prune
 from tessera.operators.dependencies import manifests_of, matched_frameworks
 from tessera.operators.limits import within_limits
 from tessera.plans import inputs
+from tessera.plans.repository import FrameworkDetector, RepositoryBuilder, graph_of
 from tessera.rules import framework_table
 from tessera.sources.ignore import IgnoreRules
+from tessera.sources.ingest import ingest
+from tessera.sources.java_ast import ast_nodes
+from tessera.sources.scan import RepositoryScanner
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LARGE = 4_000
 IGNORED = ("*.json", "!package.json", "dist/", "__pycache__", "/lib/main*", "docs/**", "!docs/README.md", "test_unit[0-4]*")
+#: Fixed values of a user's rules, with parts missing.
+USER_RULES = {"test": {"filename_suffixes": [".JS"]}, "generated": {"directories": ["LIB"]}, "documentation": {"filename_contains": ["unit"], "filename_prefixes": ["logo"]}}
 LIMITS = {
     "limit_files": ScanLimits(max_files=300),
     "limit_total_size": ScanLimits(max_total_size=200_000),
@@ -81,7 +91,7 @@ def repository_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By lexer names; SQL has no such list."""
+    """By lexer names; the SQL has those of the names that occur."""
     return with_language(_files(spark, sf_dir).drop("language")).select("doc_id", "name", "language")
 
 
@@ -134,6 +144,120 @@ def framework_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched_frameworks(inputs.dependencies(spark, sf_dir))
 
 
+def rules_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules as loaded from JSON."""
+    return rules.classification_table(spark, rules.parse_classification(json.dumps(rules.CLASSIFICATION)))
+
+
+def rules_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.manifest_table(spark, rules.parse_manifests(json.dumps(rules.MANIFESTS)))
+
+
+def rules_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written with its names in capitals and without empty lists, as a user may."""
+    written = [{"name": f.name, "ecosystem": f.ecosystem} | {k: [x.upper() for x in v] for k, v in (("dependencies", f.dependencies), ("dependency_prefixes", f.dependency_prefixes)) if v} for f in rules.FRAMEWORKS]
+    table = rules.framework_table(spark, rules.parse_frameworks(json.dumps(written)))
+    return table.select("name", "ecosystem", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependency_prefixes", ",").alias("dependency_prefixes"))
+
+
+def file_user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories by rules that a user has loaded."""
+    own = rules.parse_classification(json.dumps(USER_RULES))
+    return _files(spark, sf_dir).select("doc_id", classify.category(F.col("relative_path"), F.col("language"), F.col("is_binary"), own).alias("category"))
+
+
+def ignore_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Custom patterns after those of the ignore file."""
+    return prune.kept(_files(spark, sf_dir), IgnoreRules(IGNORED[:4], custom=IGNORED[4:])).select("doc_id", "relative_path")
+
+
+def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of what bytes decode to; every fourth text ends with a byte that is no text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat(content, F.lit(b"\xff"))).otherwise(content)
+    return docs.select("doc_id", F.length(text.decoded(content)).cast("long").alias("n_chars"))
+
+
+def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of the tables, scanned as a local repository."""
+    files, _ = RepositoryScanner(spark, ignore_patterns=("labels.*",)).scan(ingest(RepositorySource("local", sf_dir)))
+    return files.select("relative_path", "name", "extension", "is_hidden", "is_symlink", "is_binary", "is_large", "category")
+
+
+def dependency_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies of all manifests, looked up by their names; those of several files all stay."""
+    return FrameworkDetector().dependencies(inputs.all_manifests(spark, sf_dir)).select("name", "ecosystem", "source_file")
+
+
+def framework_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FrameworkDetector().detect(inputs.all_manifests(spark, sf_dir))
+
+
+def parser_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser and a manifest of the user's: a name on each line of deps.txt."""
+    registry = ParserRegistry()
+    registry.register("lines", lambda content: F.split(content, "\n"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.lit("deps.txt").alias("name"), F.concat(F.lit("a\nb"), (F.col("doc_id") % 3).cast("string")).alias("content"))
+    return FrameworkDetector([{"filename": "deps.txt", "ecosystem": "own", "parser": "lines"}], registry=registry).dependencies(files)
+
+
+def repository_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole model in one row: totals, and its dependencies and frameworks."""
+    content = F.lit(None).cast("string")
+    for parser, name in inputs.MANIFEST_NAMES.items():
+        content = F.when(F.col("name") == name, F.expr(inputs.MANIFESTS[parser].format(str="string"))).otherwise(content)
+    files = _files(spark, sf_dir).withColumn("path", F.col("relative_path")).withColumn("content", content)
+    model = RepositoryBuilder().build("derived", "/derived", files, directory_listing(spark, sf_dir))
+    told = model.dependencies.agg(F.count(F.lit(1)).alias("total_dependencies"), F.count_distinct("ecosystem").alias("ecosystems"))
+    frameworks = model.frameworks.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("frameworks"))
+    total = model.metadata.select("total_files", "total_directories", "source_files", "binary_files")
+    return total.crossJoin(told).crossJoin(frameworks).withColumn("name", F.lit(model.name))  # one row each
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file, how many facts of each kind it has."""
+    found = ast_facts.facts(inputs.nodes(spark, sf_dir))
+    parts = [table.select("file", F.lit(name).alias("kind")) for name, table in found.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("file", "kind").agg(F.count(F.lit(1)).alias("facts"))
+
+
+def java_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syntax nodes of Java sources."""
+    own = ast_nodes(inputs.java_sources(spark, sf_dir))
+    return own.select("file", F.col("pre").cast("int").alias("pre"), "type", "name", "superclass", F.array_join(F.coalesce("interfaces", F.array()), ",").alias("interfaces"))
+
+
+def _flat_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("label", "key.scope", "key.name")
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From Java sources to the nodes of all labels."""
+    return _flat_nodes(graph_of(inputs.java_sources(spark, sf_dir)).nodes)
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From Java sources to the edges of all types."""
+    return graph_of(inputs.java_sources(spark, sf_dir)).edges.select("type", *(F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("src", "dst") for c in ("label", "scope", "name")))
+
+
+def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of some files, then of all, merged into what is stored, read back and counted by label or type."""
+    facts = ast_facts.facts(inputs.nodes(spark, sf_dir))
+    some = {name: table.where(F.crc32("file") % 2 == 0) for name, table in facts.items()}
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tessera-checkpoints'}/tessera-graph-{uuid.uuid4().hex}"
+    for own in (some, facts, some):
+        sinks.merge_nodes(code_graph.nodes(own), f"{base}/nodes")
+        sinks.merge_edges(code_graph.EdgeBuilder(own).all(), f"{base}/edges")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    stored = spark.read.parquet(f"{base}/nodes").groupBy(F.col("label").cast("string").alias("kind")).count()
+    stored = stored.unionByName(spark.read.parquet(f"{base}/edges").groupBy(F.col("type").cast("string").alias("kind")).count())
+    return stored.select("kind", F.col("count").alias("stored"))
+
+
 def _facts(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ast_facts.BUILDERS[name](inputs.nodes(spark, sf_dir))
@@ -166,7 +290,8 @@ def queries() -> dict[str, Query]:
     plain = (file_projection, file_hidden_large, file_classification, category_counts, flag_counts, language_histogram, repository_metadata, directory_listing, language_detection, ignore_filter, directory_prune)
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {name: _limited(name) for name in LIMITS}
-    out |= {f.__name__: f for f in (binary_sniff, manifest_lookup)}
+    out |= {f.__name__: f for f in (binary_sniff, manifest_lookup, rules_classification, rules_manifests, rules_frameworks, file_user_rules, ignore_custom, text_decode, scan_tables)}
+    out |= {f.__name__: f for f in (dependency_extract, framework_detect, parser_registered, repository_build, parsed_files, java_nodes, graph_nodes, graph_edges, graph_merge)}
     out |= {f"deps_{p}": _dependencies(p) for p in inputs.MANIFESTS}
     out |= {f.__name__: f for f in (framework_match, framework_list)}
     out |= {f"ast_{name}": _facts(name) for name in ("packages", "imports", "classes", "interfaces", "methods", "fields", "calls", "creations", "extends", "implements")}

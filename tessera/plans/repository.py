@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.manifests import ParserRegistry
 from tessera.model import Repository, RepositorySource
+from tessera.operators import code_graph
+from tessera.operators.ast_facts import facts
 from tessera.operators.dependencies import extract, manifests_of, matched_frameworks
 from tessera.operators.metadata import language_histogram, repository_metadata
 from tessera.rules import FRAMEWORKS, MANIFESTS, Framework
 from tessera.sources.ingest import ingest
+from tessera.sources.java_ast import ast_nodes
 from tessera.sources.scan import RepositoryScanner, read_texts
 
 
@@ -37,8 +40,11 @@ class FrameworkDetector:
     registry: ParserRegistry | None = None
 
     def dependencies(self, files: DataFrame) -> DataFrame:
+        """files: with path and name, and content where the texts are there already."""
         # The join by name stands before the read, so no other file is opened.
-        return extract(read_texts(manifests_of(files.select("path", "name"), self.manifests)), self.registry)
+        texts = [c for c in ("content",) if c in files.columns]
+        found = manifests_of(files.select("path", "name", *texts), self.manifests)
+        return extract(found if texts else read_texts(found), self.registry)
 
     def detect(self, files: DataFrame) -> DataFrame:
         return matched_frameworks(self.dependencies(files), self.frameworks)
@@ -59,3 +65,25 @@ def discover(spark: SparkSession, source: RepositorySource | Repository, scanner
     repository = source if isinstance(source, Repository) else ingest(source)
     files, directories = (scanner or RepositoryScanner(spark)).scan(repository)
     return (builder or RepositoryBuilder()).build(repository.name, repository.path, files, directories)
+
+
+@dataclass
+class CodeGraph:
+    """facts by name; nodes: label and key; edges: type, src and dst."""
+
+    facts: dict[str, DataFrame]
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def graph_of(sources: DataFrame) -> CodeGraph:
+    """The code graph of Java sources (path, content)."""
+    found = facts(ast_nodes(sources), cache=True)
+    return CodeGraph(found, code_graph.nodes(found), code_graph.EdgeBuilder(found).all())
+
+
+def graph(spark: SparkSession, source: RepositorySource | Repository, scanner: RepositoryScanner | None = None) -> CodeGraph:
+    """From a source to the graph of its Java files."""
+    repository = source if isinstance(source, Repository) else ingest(source)
+    files, _ = (scanner or RepositoryScanner(spark)).scan(repository)
+    return graph_of(read_texts(files.where("extension = '.java' and not is_binary").select("path")))

@@ -105,17 +105,29 @@ FRAMEWORKS: list[Framework] = [
 FRAMEWORK_SCHEMA = "name string, ecosystem string, dependencies array<string>, dependency_prefixes array<string>"
 
 
+def parse_classification(text: str) -> dict[str, dict[str, list[str]]]:
+    return json.loads(text)
+
+
+def parse_manifests(text: str) -> list[dict[str, str]]:
+    return json.loads(text)
+
+
+def parse_frameworks(text: str) -> list[Framework]:
+    """Lists that are missing are empty."""
+    return [Framework(r["name"], r["ecosystem"], tuple(r.get("dependencies", ())), tuple(r.get("dependency_prefixes", ()))) for r in json.loads(text)]
+
+
 def load_classification(path: str | Path) -> dict[str, dict[str, list[str]]]:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return parse_classification(Path(path).read_text(encoding="utf-8"))
 
 
 def load_manifests(path: str | Path) -> list[dict[str, str]]:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return parse_manifests(Path(path).read_text(encoding="utf-8"))
 
 
 def load_frameworks(path: str | Path) -> list[Framework]:
-    rows = json.loads(Path(path).read_text(encoding="utf-8"))
-    return [Framework(r["name"], r["ecosystem"], tuple(r.get("dependencies", ())), tuple(r.get("dependency_prefixes", ()))) for r in rows]
+    return parse_frameworks(Path(path).read_text(encoding="utf-8"))
 
 
 def rule_part(rules: Mapping[str, Mapping[str, Sequence[str]]], category: str, part: str) -> list[str]:
@@ -123,6 +135,12 @@ def rule_part(rules: Mapping[str, Mapping[str, Sequence[str]]], category: str, p
     return [v.lower() for v in rules.get(category, {}).get(part, ())]
 
 
+def classification_table(spark: SparkSession, rules: Mapping[str, Mapping[str, Sequence[str]]] = CLASSIFICATION) -> DataFrame:
+    """category, part and value of each rule."""
+    rows = [(c, p, v) for c in rules for p in RULE_PARTS for v in rule_part(rules, c, p)]
+    return spark.createDataFrame(rows, "category string, part string, value string")
+
+
 def manifest_table(spark: SparkSession, manifests: Sequence[Mapping[str, str]] = MANIFESTS) -> DataFrame:
     """The first definition of each file name."""
     first: dict[str, tuple[str, str, str]] = {}

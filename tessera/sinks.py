@@ -7,20 +7,42 @@ import time
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 logger = logging.getLogger("tessera")
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:
-    """One partition folder for each label; rows are whole sets, so writing again gives the same."""
+    """One partition folder for each label, in place of what is stored."""
     nodes.write.mode("overwrite").partitionBy("label").parquet(path)
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """One partition folder for each edge type."""
+    """One partition folder for each edge type, in place of what is stored."""
     edges.write.mode("overwrite").partitionBy("type").parquet(path)
 
 
+def merge_nodes(nodes: DataFrame, path: str) -> None:
+    """Adds the nodes that are not stored yet; a node is its label and key, so merging again changes nothing."""
+    _merge(nodes, path, "label")
+
+
+def merge_edges(edges: DataFrame, path: str) -> None:
+    """Adds the edges that are not stored yet."""
+    _merge(edges, path, "type")
+
+
+def _merge(rows: DataFrame, path: str, by: str) -> None:
+    spark = rows.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = rows.distinct()
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        stored = spark.read.schema(rows.schema).parquet(path)
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in rows.columns]
+        new = new.alias("n").join(stored.alias("o"), same, "left_anti")
+    new.write.mode("append").partitionBy(by).parquet(path)
+
+
 def dump(df: DataFrame, rows: int = 20) -> None:
     df.show(rows, truncate=False)
 

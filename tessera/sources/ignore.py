@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -118,5 +119,14 @@ class IgnoreRules:
             out = F.when(path.rlike(f"(?s){p.regex}"), F.lit(p.ignores)).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
+    def to_json(self) -> str:
+        return json.dumps([(p.regex, p.ignores) for p in self.patterns])
+
+    @classmethod
+    def of_json(cls, text: str) -> IgnoreRules:
+        own = cls.__new__(cls)
+        own.patterns = [Pattern(regex, ignores) for regex, ignores in json.loads(text)]
+        return own
+
     def __getstate__(self) -> dict:
         return {"patterns": self.patterns}

@@ -12,13 +12,17 @@ from tessera.model import Repository, RepositorySource, SourceType
 logger = logging.getLogger("tessera")
 
 
-def ingest(source: RepositorySource) -> Repository:
-    """Opens a local folder or clones a repository; any other type is a ValueError."""
+def ingest(source: RepositorySource, clone_into: str | None = None) -> Repository:
+    """Opens a local folder or clones a repository; any other type is a ValueError.
+
+    clone_into: the folder that clones go to.  Executors read files by path, so on a
+    cluster it must be one that all of them mount.
+    """
     try:
         kind = SourceType(source.source_type)
     except ValueError:
         raise ValueError(f"unsupported source type: {source.source_type}") from None
-    return _open_local(source) if kind is SourceType.LOCAL else _clone(source)
+    return _open_local(source) if kind is SourceType.LOCAL else _clone(source, clone_into)
 
 
 def _open_local(source: RepositorySource) -> Repository:
@@ -30,9 +34,9 @@ def _open_local(source: RepositorySource) -> Repository:
     return Repository(path.name, str(path), source)
 
 
-def _clone(source: RepositorySource) -> Repository:
+def _clone(source: RepositorySource, into: str | None) -> Repository:
     """Clones into a new folder, whose name is the repository's; a failure is a RuntimeError."""
-    target = Path(tempfile.mkdtemp(prefix="tessera-"))
+    target = Path(tempfile.mkdtemp(prefix="tessera-", dir=into))
     command = ["git", "clone", "--quiet"]
     if source.branch:
         command += ["--branch", source.branch]

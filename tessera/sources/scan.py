@@ -8,7 +8,8 @@ goes beyond one.
 
 Directories that can't be read and files without metadata become error rows.
 Linked directories are skipped unless they are to be followed; then those that
-lead to a directory that is open already are skipped.  Linked files are kept,
+lead to a directory that is open already are skipped, with a row of kind cycle.
+Where a limit ends a scan, a row of kind limit says which.  Linked files are kept,
 with the link's own size.  Hidden and empty files are kept.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -38,29 +39,34 @@ _SCHEMA = "kind string, path string, relative_path string, name string, size lon
 
 
 class _Stop(Exception):
-    """A limit is reached."""
+    """A limit is reached: its name, and the path that would go beyond it."""
 
 
 class _Walk:
-    def __init__(self, root: str, rules: IgnoreRules, follow: bool, limits: ScanLimits) -> None:
-        self.root, self.rules, self.follow, self.limits = root, rules, follow, limits
+    def __init__(self, root: str, rules: IgnoreRules, follow: bool, limits: ScanLimits, heads: bool = True) -> None:
+        self.root, self.rules, self.follow, self.limits, self.heads = root, rules, follow, limits, heads
         self.files = self.directories = self.bytes = 0
 
     def _relative(self, path: str) -> str:
         return os.path.relpath(path, self.root).replace(os.sep, "/")
 
+    def _notice(self, kind: str, path: str, message: str) -> tuple:
+        return (kind, path, self._relative(path), os.path.basename(path), None, None, None, message)
+
     def _error(self, path: str, error: OSError) -> tuple:
-        return ("error", path, self._relative(path), os.path.basename(path), None, None, None, str(error))
+        return self._notice("error", path, str(error))
 
     def _head(self, path: str) -> bytes | None:
+        if not self.heads:
+            return None
         try:
             with open(path, "rb") as f:
                 return f.read(HEAD_BYTES)
         except OSError:
             return None
 
-    def _enters(self, path: str, real_above: frozenset[str]) -> bool:
-        """Whether a directory is listed and walked."""
+    def _enters(self, path: str, real_above: frozenset[str]) -> bool | None:
+        """Whether a directory is listed and walked; None if it leads back to one that is open."""
         if self.rules.ignores(self._relative(path)):
             return False
         if not os.path.islink(path):
@@ -68,20 +74,21 @@ class _Walk:
         if not self.follow:
             return False
         try:
-            return os.path.realpath(path, strict=True) not in real_above
+            return None if os.path.realpath(path, strict=True) in real_above else True
         except OSError:
             return False
 
     def listed(self, path: str, real_above: frozenset[str]) -> tuple[list[str], list[str], list[tuple]]:
-        """Directories to walk and file paths of a directory, and its error row."""
+        """Directories to walk and file paths of a directory, and rows for its error and for links that lead back."""
         try:
             with os.scandir(path) as entries:
                 found = sorted(entries, key=lambda e: e.name)
         except OSError as e:
             return [], [], [self._error(path, e)]
         is_dir = {e.path: _is_dir(e) for e in found}
-        dirs = [e.path for e in found if is_dir[e.path] and self._enters(e.path, real_above)]
-        return dirs, [e.path for e in found if not is_dir[e.path] and not self.rules.ignores(self._relative(e.path))], []
+        enters = {p: self._enters(p, real_above) for p, directory in is_dir.items() if directory}
+        notices = [self._notice("cycle", p, f"leads to {os.path.realpath(p)}") for p, x in enters.items() if x is None]
+        return [p for p, x in enters.items() if x], [e.path for e in found if not is_dir[e.path] and not self.rules.ignores(self._relative(e.path))], notices
 
     def rows(self, top: str, below: bool, real_above: frozenset[str]) -> Iterator[tuple]:
         todo = [(top, real_above)]
@@ -89,19 +96,21 @@ class _Walk:
             while todo:
                 path, above = todo.pop()
                 inside = above | {os.path.realpath(path)}
-                dirs, files, errors = self.listed(path, inside)
-                yield from errors
+                dirs, files, notices = self.listed(path, inside)
+                yield from notices
                 for d in dirs:
                     if self.limits.max_directories is not None and self.directories >= self.limits.max_directories:
-                        raise _Stop
+                        raise _Stop("max_directories", d)
                     self.directories += 1
                     yield ("directory", d, self._relative(d), os.path.basename(d), None, os.path.islink(d), None, None)
                 for f in files:
                     yield from self._file(f)
                 if below:
                     todo += [(d, inside) for d in reversed(dirs)]
-        except _Stop:
-            return
+        except _Stop as stop:
+            limit, path = stop.args
+            logger.warning("scan of %s ends at %s: %s", self.root, path, limit)
+            yield self._notice("limit", path, f"{limit}={getattr(self.limits, limit)}")
 
     def _file(self, path: str) -> Iterator[tuple]:
         try:
@@ -110,9 +119,9 @@ class _Walk:
             yield self._error(path, e)
             return
         if self.limits.max_files is not None and self.files >= self.limits.max_files:
-            raise _Stop
+            raise _Stop("max_files", path)
         if self.limits.max_total_size is not None and self.bytes + own.st_size > self.limits.max_total_size:
-            raise _Stop
+            raise _Stop("max_total_size", path)
         self.files += 1
         self.bytes += own.st_size
         yield ("file", path, self._relative(path), os.path.basename(path), own.st_size, stat.S_ISLNK(own.st_mode), self._head(path), None)
@@ -134,12 +143,13 @@ class _Reader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]) -> None:
         number = lambda k: int(options[k]) if options.get(k) else None
         self.root = os.path.abspath(options["path"])
-        self.lines = options.get("ignore", "").split("\n")
+        self.rules = IgnoreRules.of_json(options["rules"]) if options.get("rules") else IgnoreRules(options.get("ignore", "").split("\n"))
+        self.heads = options.get("heads", "true").lower() == "true"
         self.follow = options.get("followSymlinks", "false").lower() == "true"
         self.limits = ScanLimits(None, number("maxFiles"), number("maxDirectories"), number("maxTotalSize"))
 
     def _walk(self) -> _Walk:
-        return _Walk(self.root, IgnoreRules(self.lines), self.follow, self.limits)
+        return _Walk(self.root, self.rules, self.follow, self.limits, self.heads)
 
     def partitions(self) -> Sequence[InputPartition]:
         if any(x is not None for x in (self.limits.max_files, self.limits.max_directories, self.limits.max_total_size)):
@@ -153,7 +163,7 @@ class _Reader(DataSourceReader):
 
 
 class RepositoryDataSource(DataSource):
-    """Format `repository`; options: path, ignore (lines), followSymlinks, maxFiles, maxDirectories, maxTotalSize."""
+    """Format `repository`; options: path, ignore (lines) or rules (of IgnoreRules.to_json), followSymlinks, heads (false: files aren't opened), maxFiles, maxDirectories, maxTotalSize."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,16 +188,24 @@ class RepositoryScanner:
         rules: Mapping[str, Mapping[str, Sequence[str]]] = CLASSIFICATION,
         limits: ScanLimits | None = None,
         classify_absolute: bool = False,
+        classifier: Callable[[Column, Column, Column], Column] | None = None,
+        ignore_rules: IgnoreRules | None = None,
     ) -> None:
-        """classify_absolute: directories above the repository tell categories too."""
+        """classify_absolute: directories above the repository tell categories too.
+
+        classifier: from path, language and binary flag to the category, in place of the rules.
+        ignore_rules: in place of the repository's ignore file and ignore_patterns.
+        """
+        self.classifier = classifier or (lambda path, language, binary: category(path, language, binary, rules))
+        self.ignore_rules = ignore_rules
         self.spark, self.ignore_patterns, self.follow, self.detector = spark, list(ignore_patterns), follow_symlinks, detector
-        self.rules, self.limits, self.classify_absolute = rules, limits or ScanLimits(), classify_absolute
+        self.limits, self.classify_absolute = limits or ScanLimits(), classify_absolute
 
-    def events(self, repository: Repository) -> DataFrame:
+    def events(self, repository: Repository, heads: bool = True) -> DataFrame:
+        """Rows of kind file, directory, error, cycle and limit.  Without heads no file is opened, and none is known to be binary."""
         self.spark.dataSource.register(RepositoryDataSource)
-        file = Path(repository.path) / ".gitignore"
-        lines = file.read_text(encoding="utf-8", errors="replace").splitlines() if file.is_file() else []
-        reader = self.spark.read.format("repository").option("path", str(repository.path)).option("ignore", "\n".join([*lines, *self.ignore_patterns])).option("followSymlinks", str(self.follow).lower())
+        rules = self.ignore_rules or IgnoreRules.of_repository(repository.path, self.ignore_patterns)
+        reader = self.spark.read.format("repository").option("path", str(repository.path)).option("rules", rules.to_json()).option("followSymlinks", str(self.follow).lower()).option("heads", str(heads).lower())
         for name, value in (("maxFiles", self.limits.max_files), ("maxDirectories", self.limits.max_directories), ("maxTotalSize", self.limits.max_total_size)):
             if value is not None:
                 reader = reader.option(name, str(value))
@@ -195,22 +213,25 @@ class RepositoryScanner:
 
     def scan(self, repository: Repository) -> tuple[DataFrame, DataFrame]:
         """files and directories."""
-        events = self.events(repository)
-        return self.files(events), self.directories(events)
+        return self.files(self.events(repository)), self.directories(self.events(repository, heads=False))
 
     def files(self, events: DataFrame) -> DataFrame:
         found = events.where("kind = 'file'").withColumns({"extension": extension(F.col("name")), "is_hidden": is_hidden(F.col("name")), "is_binary": is_binary(F.col("head")), "is_large": is_large(F.col("size"), self.limits.max_file_size)}).drop("head")
         found = with_language(found, self.detector)
         judged = F.col("path" if self.classify_absolute else "relative_path")
-        return found.withColumn("category", category(judged, F.col("language"), F.col("is_binary"), self.rules)).select(*FILES.names)
+        return found.withColumn("category", self.classifier(judged, F.col("language"), F.col("is_binary"))).select(*FILES.names)
 
     def directories(self, events: DataFrame) -> DataFrame:
         return events.where("kind = 'directory'").withColumn("is_hidden", is_hidden(F.col("name"))).select(*DIRECTORIES.names)
 
     def errors(self, events: DataFrame) -> DataFrame:
-        """What was skipped, and why."""
+        """What could not be read, and why."""
         return events.where("kind = 'error'").select("path", "relative_path", "message")
 
+    def notices(self, events: DataFrame) -> DataFrame:
+        """What cut the scan: links that lead back (cycle) and the limit that ended it."""
+        return events.where("kind in ('cycle', 'limit')").select("kind", "path", "relative_path", "message")
+
 
 def read_texts(files: DataFrame) -> DataFrame:
     """files with the column content: each file's text, null if it can't be read or isn't UTF-8.
