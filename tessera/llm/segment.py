@@ -49,7 +49,7 @@ from tessera.llm.common import bounded_batches
 #: The file of the vocabulary, at any path that the driver or Spark can read; executors get a copy of it.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,7 @@ class Lattice:
     """
 
     #: Edges from which the lattice is emptied before it takes another slice.
-    MOST_EDGES = 3_500_000
+    MOST_EDGES = 2_000_000
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
