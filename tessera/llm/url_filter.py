@@ -3,7 +3,8 @@
 One automaton holds the strict and the soft terms.  A hit counts only where the
 characters beside it are not ASCII letters or digits, so `bets` is found in
 `free-bets.example.com` and not in `alphabets.org`.  A url is blocked by one
-strict term, or when the distinct soft terms together reach the threshold.
+strict term, or when the weights of the distinct soft terms together reach the
+threshold.  The terms below are an example; vocabulary_of reads others from a table.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no
 rule and the verdict `allow`.  Repeated rows give repeated results.  Columns of
@@ -43,6 +44,9 @@ class Rule:
         return self.host + self.path
 
 
+#: Terms that a vocabulary may hold: each worker has the automaton in memory.
+MOST_TERMS = 1_000_000
+
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
 
@@ -54,6 +58,20 @@ class Vocabulary:
     threshold: int = 2
 
 
+def vocabulary_of(terms: DataFrame, threshold: int = 2) -> Vocabulary:
+    """The vocabulary of a table: term, strict (boolean) and weight (of a soft term; 1 where null).
+
+    Terms are lower-cased (A-Z); null and empty ones are ignored.  Of a term that repeats,
+    strict goes before soft and the greatest weight counts.  More than MOST_TERMS are a ValueError.
+    """
+    own = terms.select(F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("term"), F.coalesce("strict", F.lit(False)).alias("strict"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    own = own.where("term <> ''").groupBy("term").agg(F.bool_or("strict").alias("strict"), F.max("weight").alias("weight"))
+    rows = own.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return Vocabulary(tuple(sorted(r["term"] for r in rows if r["strict"])), {r["term"]: int(r["weight"]) for r in sorted(rows, key=lambda r: r["term"]) if not r["strict"]}, threshold)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path."""
     at = -1 if url is None else url.find("://")

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,20 @@ def test_hits_equal_patterns(text):
         a.add_word(t, t)
     a.make_automaton()
     assert url_filter.hits(text, a) == {t for t in terms if re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", text)}
+
+
+def test_weights_of_a_table_equal_sql(spark):
+    terms = [("Article", False, 2), ("blog", False, 3), ("news", False, None), ("page", False, 4), ("shop", True, 1), ("shop", False, 9), ("free", False, 5), ("bonus", False, 1), ("", True, 1), (None, True, 1), ("news", False, 2), ("www", False, 1), ("example", False, 2), ("login", True, None)]
+    words = url_filter.vocabulary_of(spark.createDataFrame(terms, "term string, strict boolean, weight int"), threshold=5)
+    assert words.strict == ("login", "shop")
+    assert (words.soft["article"], words.soft["news"], words.soft["free"]) == (2, 2, 5)
+    db = duckdb.connect()
+    db.execute("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
+    want = db.execute(f"select page_id, rule, verdict, n_strict, soft_weight from ({url_filter.oracle(vocabulary=words)})").fetchall()
+    got = url_filter.filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), vocabulary=words).select("page_id", "rule", "verdict", "n_strict", "soft_weight").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len({r.soft_weight for r in got}) >= 4
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(ValueError, match="terms"):
+        patch.setattr(url_filter, "MOST_TERMS", 3)
+        url_filter.vocabulary_of(spark.createDataFrame(terms, "term string, strict boolean, weight int"))
