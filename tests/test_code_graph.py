@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.model import AST_NODES, ENTITY_KINDS, RELATIONSHIP_KINDS
 from tessera.operators import ast_facts, code_graph
 from tessera.operators.code_model import code_model
-from tessera.sinks import health, retried, write_edges, write_nodes
+from tessera.model import RepositorySource
+from tessera.plans.repository import graph
+from tessera.sinks import health, merge_edges, merge_nodes, retried, write_edges, write_nodes
 from tessera.sources.java_ast import ast_nodes, parse
 
 # A file with the shape of the golden graph: 16 nodes and 23 edges.
@@ -197,3 +199,33 @@ def test_health(spark):
     waits = []
     assert not retried(broken, 10, 2.0, waits.append)
     assert waits == [2.0] * 9
+
+
+def test_graph_of_a_repository(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "A.java").write_text("package p; class A extends B { int f; void m() { n(); new B(); } }")
+    (tmp_path / "B.java").write_text("package p; class B { void n() { } }")
+    (tmp_path / "c.py").write_text("class C: pass")
+    (tmp_path / "Broken.java").write_bytes(b"\xff\xfe")
+    got = graph(spark, RepositorySource("local", str(tmp_path)))
+    assert {(r.label, r.key["scope"], r.key["name"]) for r in got.nodes.collect()} == {("Package", None, "p"), ("Class", "p", "A"), ("Class", "p", "B"), ("Method", "A", "m"), ("Method", "B", "n"), ("Field", "A", "f")}
+    edges = {(r.type, r.src["name"], r.dst["name"]) for r in got.edges.collect()}
+    assert edges == {("CONTAINS", "p", "A"), ("CONTAINS", "p", "B"), ("DECLARES", "A", "m"), ("DECLARES", "B", "n"), ("HAS_FIELD", "A", "f"), ("EXTENDS", "A", "B"), ("CALLS", "m", "n"), ("CREATES", "m", "B")}
+
+
+def test_merging_keeps_what_is_stored(spark, tmp_path):
+    key = "label string, key struct<scope:string,name:string>"
+    end = "struct<label:string,scope:string,name:string>"
+    nodes = lambda *rows: spark.createDataFrame([(label, (scope, name)) for label, scope, name in rows], key)
+    a, b, c = ("Class", "p", "A"), ("Class", None, "B"), ("Method", "A", "m")
+    path = str(tmp_path / "nodes")
+    for rows in ((a, b), (b, b, c), (), (a,)):
+        merge_nodes(nodes(*rows), path)
+    stored = spark.read.schema(key).parquet(path).collect()
+    assert sorted((str(r.label), str(r.key["scope"]), r.key["name"]) for r in stored) == sorted((x, str(y), z) for x, y, z in (a, b, c))
+    edges = lambda *rows: spark.createDataFrame([(t, x, y) for t, x, y in rows], f"type string, src {end}, dst {end}")
+    path = str(tmp_path / "edges")
+    merge_edges(edges(("DECLARES", a, c)), path)
+    merge_edges(edges(("DECLARES", a, c), ("CALLS", c, c)), path)
+    assert spark.read.parquet(path).count() == 2
+

@@ -1,8 +1,12 @@
 """Manifest parsers, dependencies and frameworks."""
 
 import json
+import re
+import tomllib
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import rules
@@ -80,3 +84,27 @@ def test_rules_load_from_files(spark, tmp_path):
     assert [r.name for r in matched_frameworks(deps, loaded).collect()] == ["N"]
     (tmp_path / "m.json").write_text(json.dumps(rules.MANIFESTS))
     assert rules.load_manifests(tmp_path / "m.json") == rules.MANIFESTS
+
+
+_word = st.text("abXY19_-", min_size=1, max_size=6)
+_members = st.dictionaries(_word, st.sampled_from(["1", "^2.0", ""]), max_size=4)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.dictionaries(st.sampled_from(["dependencies", "devDependencies", "peerDependencies", "optionalDependencies", "scripts"]), _members, max_size=4), min_size=1, max_size=8))
+def test_json_manifests_equal_the_standard_parser(spark, manifests):
+    sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+    texts = [json.dumps(m, indent=i % 3 or None) for i, m in enumerate(manifests)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = {r.i: set(r.names) for r in df.select("i", ParserRegistry().get("json")(F.col("content")).alias("names")).collect()}
+    assert got == {i: {name.lower() for k in sections for name in json.loads(t).get(k, {})} for i, t in enumerate(texts)}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(_word, st.sampled_from(["", "==1", ">=2,<3", "[all]", "[x]~=1"])), max_size=5), min_size=1, max_size=8))
+def test_pyproject_manifests_equal_the_standard_parser(spark, manifests):
+    texts = ["[project]\ndependencies = " + json.dumps([n + v for n, v in m]) + "\n" for m in manifests]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = {r.i: set(r.names) for r in df.select("i", ParserRegistry().get("pyproject")(F.col("content")).alias("names")).collect()}
+    assert got == {i: {re.split(r"[\[<>=!~]", d)[0].strip().lower() for d in tomllib.loads(t)["project"]["dependencies"]} for i, t in enumerate(texts)}
+

@@ -202,3 +202,59 @@ def test_whole_repository(spark, tmp_path):
 def test_unreadable_manifest_has_no_dependencies(spark, tmp_path):
     tree(tmp_path, **{"package.json": b"\xff\xfe{"})
     assert discover(spark, RepositorySource("local", str(tmp_path))).dependencies.count() == 0
+
+
+def test_limits_and_link_cycles_leave_rows(spark, tmp_path):
+    tree(tmp_path, **{"a/x.py": "1", "a/y.py": "22", "b/z.py": "333"})
+    os.symlink(tmp_path, tmp_path / "a" / "back")
+    for limits, wanted in (
+        (ScanLimits(max_files=2), ("max_files=2", "b/z.py")),
+        (ScanLimits(max_directories=1), ("max_directories=1", "b")),
+        (ScanLimits(max_total_size=4), ("max_total_size=4", "b/z.py")),
+    ):
+        scanner = RepositoryScanner(spark, limits=limits)
+        (row,) = scanner.notices(scanner.events(local(tmp_path))).collect()
+        assert (row.kind, row.message, row.relative_path) == ("limit", *wanted)
+    scanner = RepositoryScanner(spark, follow_symlinks=True)
+    events = scanner.events(local(tmp_path))
+    (row,) = scanner.notices(events).collect()
+    assert (row.kind, row.relative_path) == ("cycle", "a/back")
+    assert scanner.errors(events).count() == 0
+    assert scanner.notices(RepositoryScanner(spark).events(local(tmp_path))).count() == 0
+
+
+def test_classifier_and_ignore_rules_can_be_injected(spark, tmp_path):
+    tree(tmp_path, **{"a.py": "x", "b.log": "x", "tests/c.py": "x", ".gitignore": "*.py"})
+    rules = IgnoreRules(["*.log", "!keep.log"])
+    classifier = lambda path, language, binary: F.concat(F.lit("own:"), F.coalesce(language, F.lit("none")), F.when(F.startswith(path, F.lit("tests/")), "!").otherwise(""))
+    scanner = RepositoryScanner(spark, ignore_rules=rules, classifier=classifier)
+    files, _ = scanner.scan(local(tmp_path))
+    assert {r.relative_path: r.category for r in files.collect()} == {"a.py": "own:Python", "tests/c.py": "own:Python!", ".gitignore": "own:none"}
+
+
+def test_rules_survive_their_json():
+    rules = IgnoreRules(["*.log", "!keep.log", "dist/", "/x/**"], custom=["y?"])
+    again = IgnoreRules.of_json(rules.to_json())
+    for path in ("a.log", "keep.log", "dist", "dist/a", "x/b", "q/x/b", "y1", "z"):
+        assert again.ignores(path) == rules.ignores(path)
+
+
+def test_files_are_not_opened_without_heads(spark, tmp_path):
+    tree(tmp_path, **{"a.bin": b"\0"})
+    scanner = RepositoryScanner(spark)
+    assert [r["head"] for r in scanner.events(local(tmp_path), heads=False).where("kind = 'file'").collect()] == [None]
+    assert [r.is_binary for r in scanner.files(scanner.events(local(tmp_path))).collect()] == [True]
+
+
+def test_clones_go_where_they_are_told(tmp_path):
+    origin, shared = tmp_path / "origin", tmp_path / "shared"
+    shared.mkdir()
+    tree(origin, **{"a.py": "x"})
+    git = lambda *a: subprocess.run(["git", "-C", str(origin), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "x")
+    got = ingest(RepositorySource("git", str(origin)), clone_into=str(shared))
+    assert Path(got.path).parent == shared
+    assert (Path(got.path) / "a.py").read_text() == "x"
+
