@@ -76,7 +76,7 @@ def indicators(raw: np.ndarray, offsets: np.ndarray, settings: Settings) -> tupl
     again[1:] = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
     runs = again.copy()
     for i in range(1, settings.repeat_ngram):
-        runs[i:] |= again[:-i] << i
+        runs[i:] |= np.where(text[i:] == text[:-i], again[:-i] << i, 0)
     codes.append((text[runs > 0] << 18) | (kernel.mix(runs[runs > 0].astype(np.uint64)) & np.uint64(BUCKETS - 1)).astype(np.int64))
     small = raw.astype(np.uint32)
     for n in settings.char_ngrams:

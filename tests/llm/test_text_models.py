@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -394,6 +394,7 @@ def plain_indicators(text):
 
 
 @settings(max_examples=60, deadline=None)
+@example(["A A", "A"])
 @given(st.lists(st.text("ab Aé\n日x", max_size=30), min_size=1, max_size=6))
 def test_indicators_equal_plain_grams(texts):
     for _, _, raw, offsets in kernel.slices(pa.array(texts, pa.string())):
