@@ -62,7 +62,7 @@ class Settings:
 class Vocabulary:
     """Pieces with log weights, in a hash table of all their beginnings."""
 
-    BITS = 20
+    BITS = 18
 
     def __init__(self, path: str, alpha: float) -> None:
         import sentencepiece
@@ -95,31 +95,37 @@ class Vocabulary:
                 if j == len(points) - 1:
                     known[h] = i
         keys = np.fromiter(known, np.uint64, len(known))
-        self.values = np.fromiter(known.values(), np.int64, len(known))
+        values = np.fromiter(known.values(), np.int32, len(known))
         mixed = kernel.mix(keys)
-        slot = (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
-        self.keys, self.place = np.append(keys, np.uint64(0)), np.full(1 << self.BITS, -1, np.int64)
+        bits = self.BITS
+        while len(keys) * 4 > 1 << bits:
+            bits += 1
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        slot = (mixed >> self.shift).astype(np.int64)
+        place = np.full(1 << bits, -1, np.int64)
         todo = np.arange(len(keys))
         while len(todo):  # linear probing: of those that want a slot, the first gets it
-            free = self.place[slot[todo]] < 0
+            free = place[slot[todo]] < 0
             got = todo[free]
             _, first = np.unique(slot[got], return_index=True)
-            self.place[slot[got[first]]] = got[first]
+            place[slot[got[first]]] = got[first]
             todo = np.setdiff1d(todo, got[first])
-            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes begin a piece, and the piece's id where they are one, else -1."""
-        slot = (kernel.mix(h) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        out = np.full(len(h), -2, np.int64)
-        todo = np.arange(len(h))
+            slot[todo] = (slot[todo] + 1) & self.mask
+        # By slot: the hash and its value, -2 where there is none.
+        self.keys = np.where(place < 0, np.uint64(0), keys[place])
+        self.values = np.where(place < 0, np.int32(-2), values[place])
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The id of the piece that each hash stands for; -1 if it only begins one, -2 if not even that."""
+        slot = (kernel.mix(h) >> self.shift).astype(np.int64)
+        out = self.values[slot]
+        todo = np.flatnonzero((self.keys[slot] != h) & (out > -2))
         while len(todo):
-            at = self.place[slot[todo]]
-            hit = (at >= 0) & (self.keys[at] == h[todo])
-            out[todo[hit]] = self.values[at[hit]]
-            todo = todo[(at >= 0) & ~hit]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
-        return out > -2, np.maximum(out, -1)
+            slot[todo] = (slot[todo] + 1) & self.mask
+            at = slot[todo]
+            out[todo] = self.values[at]
+            todo = todo[(self.keys[at] != h[todo]) & (out[todo] > -2)]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -158,26 +164,46 @@ def marked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Lattice:
     """The lattices of distinct units, end to end; take() adds those of a slice's texts.
 
-    Edges are sorted by their start node: size in characters, piece (below 0 for the bytes of
+    edge is the first edge of each node; a unit's last node has none, so a node's edges
+    end where those of the next one begin.  Edges are sorted by their start node: size in characters, piece (below 0 for the bytes of
     the character -1 - piece), log, the log-probability given the start node, and
     until, the probability of the edge and those after it.  Long pieces, the
     likeliest, come last and are tried first.
     """
 
-    #: Edges from which the lattice is emptied before it takes another slice.
-    MOST_EDGES = 2_000_000
+    #: Edges from which the lattice gives up the units that were used least before it takes another slice, and those that it keeps then at most.
+    MOST_EDGES, KEPT_EDGES = 2_000_000, 1_000_000
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
-        self._empty()
-
-    def _empty(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._sizes: dict[str, int] = {}
-        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("edge", np.int64), ("degree", np.int32), ("size", np.int8), ("piece", np.int32), ("log", np.float64), ("until", np.float32)):
+        for name, kind in (("first_node", np.int64), ("last_node", np.int64), ("uses", np.int32), ("edge", np.int64), ("size", np.int8), ("piece", np.int32), ("log", np.float64), ("until", np.float32)):
             setattr(self, name, np.zeros(1024, kind))
             self._sizes[name] = 0
 
+    def _shed(self) -> None:
+        """Keeps the units that are used most, those used once since the last time never; halves their uses."""
+        count = self._sizes["first_node"]
+        first, last, uses = self.first_node[:count], self.last_node[:count], self.uses[:count]
+        edge, edges = self.edge[first], self.edge[last] - self.edge[first]
+        order = np.argsort(-uses, kind="stable")
+        order = order[(np.cumsum(edges[order]) <= self.KEPT_EDGES) & (uses[order] > 1)]
+        kept = np.sort(order)
+        nodes, edges, uses = last[kept] - first[kept] + 1, edges[kept], uses[kept] // 2
+        node_at, edge_at = np.cumsum(nodes) - nodes, np.cumsum(edges) - edges
+        spot = _ranges(edge[kept], edges)
+        own = {name: getattr(self, name)[spot] for name in ("size", "piece", "log", "until")}
+        own["edge"] = self.edge[_ranges(first[kept], nodes)] + np.repeat(edge_at - edge[kept], nodes)
+        own |= {"first_node": node_at, "last_node": node_at + nodes - 1, "uses": uses}
+        for name, values in own.items():
+            self._sizes[name] = 0
+            self._append(name, values)
+        place = np.full(count, -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        place = place[self.places]
+        self.keys, self.places = self.keys[place >= 0], place[place >= 0]
+
     def _append(self, name: str, values: np.ndarray) -> None:
         own, size = getattr(self, name), self._sizes[name]
         if size + len(values) > len(own):
@@ -190,7 +216,7 @@ class Lattice:
     def take(self, points: np.ndarray, at: np.ndarray) -> None:
         """Sets unit, the unit of each place of the texts, and units_of, the units of each text."""
         if self._sizes["size"] > self.MOST_EDGES:
-            self._empty()
+            self._shed()
         n = len(points)
         space = points == SPACE
         start = np.zeros(n, bool)
@@ -204,7 +230,7 @@ class Lattice:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(kernel.mix(points.astype(np.uint64) + np.uint64(7)) * up[:n], out=total[1:])
         key = kernel.mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
-        own, where, unit = np.unique(key, return_index=True, return_inverse=True)
+        own, where, unit, uses = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         spot = np.searchsorted(self.keys, own)
         known = np.zeros(len(own), bool)
         inside = spot < len(self.keys)
@@ -216,6 +242,7 @@ class Lattice:
         if len(new):
             self._build(points[_ranges(first[where[new]], length[where[new]])], length[where[new]])
             self.keys, self.places = np.insert(self.keys, spot[new], own[new]), np.insert(self.places, spot[new], place[new])
+        self.uses[place] += uses.astype(np.int32)
         self.unit = place[unit]
 
     def _build(self, chars: np.ndarray, length: np.ndarray) -> None:
@@ -226,78 +253,98 @@ class Lattice:
         node_of = np.arange(m) + unit_of
         rest = node_at[1:][unit_of] - 1 - node_of  # characters from here to the unit's end
 
-        found = np.full((m, vocab.longest), -1, np.int32)
-        todo, h = np.arange(m), np.zeros(m, np.uint64)
+        # Every character begins an edge of its own; of longer pieces, where they begin and which they are.
+        todo, h, longer = np.arange(m), np.zeros(m, np.uint64), []
+        degree = np.ones(m, np.int64)
         for size in range(vocab.longest):
             h = h * np.uint64(0x5851F42D4C957F2D) + chars[todo + size].astype(np.uint64) + np.uint64(1)
-            begins, piece = vocab.find(h)
-            found[todo, size] = piece
-            go = begins & (rest[todo] > size + 1)
+            found = vocab.find(h)
+            if size:
+                hit = np.flatnonzero(found >= 0)
+                longer.append((todo[hit], found[hit]))
+                degree[longer[-1][0]] += 1
+            else:
+                single = found
+            go = np.flatnonzero((found > -2) & (rest[todo] > size + 1))
             todo, h = todo[go], h[go]
             if not len(todo):
                 break
-        alone = found[:, 0] < 0
-        found[alone, 0] = 0  # a place for the bytes
-        flat = found.ravel()
-        spot = np.flatnonzero(flat >= 0)
-        piece = flat[spot].astype(np.int64)
-        pos = np.repeat(np.arange(m), np.count_nonzero(found >= 0, axis=1))
-        size = spot - pos * vocab.longest
+        first = np.cumsum(degree) - degree
+        total = int(degree.sum())
+        piece, size = np.zeros(total, np.int32), np.ones(total, np.int8)
+        free = first + 1
+        piece[first] = np.maximum(single, 0)
+        for i, (begins, found) in enumerate(longer):
+            spot = free[begins]
+            piece[spot], size[spot] = found, i + 2
+            free[begins] = spot + 1
         log = vocab.log_weight[piece]
-        own = alone[pos] & (size == 0)
-        piece[own] = -1 - chars[pos[own]].astype(np.int64)
-        wide = chars[pos[own]]
-        log[own] = vocab.byte_weight * (1 + (wide >= 0x80) + (wide >= 0x800) + (wide >= 0x10000))
-        src, dst = node_of[pos], node_of[pos] + size + 1
-        nodes = int(node_at[-1])
-        degree = np.bincount(src, minlength=nodes)
-        edge = np.cumsum(degree) - degree
-
-        back = np.zeros(nodes)
+        alone = np.flatnonzero(single < 0)  # bytes in place of a piece
+        wide = chars[alone]
+        piece[first[alone]] = -1 - wide.astype(np.int32)
+        log[first[alone]] = vocab.byte_weight * (1 + (wide >= 0x80) + (wide >= 0x800) + (wide >= 0x10000))
+        dst = np.repeat(node_of, degree) + size
+
+        back = np.zeros(int(node_at[-1]))  # log weight of all paths to the unit's end
+        chance = np.empty(total)
         most = int(rest.max(initial=0))
         order = np.argsort(rest.astype(np.int16) if most < 1 << 15 else rest, kind="stable")
         cuts = np.cumsum(np.bincount(rest, minlength=most + 1))
         for d in range(len(cuts) - 1):
-            level = node_of[order[cuts[d] : cuts[d + 1]]]
+            level = order[cuts[d] : cuts[d + 1]]
             if len(level) < 16:  # the beginnings of a few long units
-                for node in level.tolist():
-                    own = slice(edge[node], edge[node] + degree[node])
-                    back[node] = np.logaddexp.reduce(log[own] + back[dst[own]])
+                for c in level.tolist():
+                    own = slice(first[c], first[c] + degree[c])
+                    ways = log[own] + back[dst[own]]
+                    back[node_of[c]] = np.logaddexp.reduce(ways)
+                    log[own] = ways - back[node_of[c]]
+                    chance[own] = np.exp(log[own])
             else:
-                edges = _ranges(edge[level], degree[level])
-                back[level] = np.logaddexp.reduceat(log[edges] + back[dst[edges]], np.cumsum(degree[level]) - degree[level])
-        log = np.minimum(log + back[dst] - back[src], 0.0)
-        chance = np.exp(log)
+                number = degree[level]
+                edges, head = _ranges(first[level], number), np.cumsum(number) - number
+                ways = log[edges] + back[dst[edges]]
+                top = np.maximum.reduceat(ways, head)
+                share = np.exp(ways - np.repeat(top, number))
+                whole = np.add.reduceat(share, head)
+                back[node_of[level]] = to_end = top + np.log(whole)
+                log[edges] = ways - np.repeat(to_end, number)
+                chance[edges] = share / np.repeat(whole, number)
+        log = np.minimum(log, 0.0)
         running = np.cumsum(chance)
-        some = degree > 0
-        until = np.repeat(running[(edge + degree - 1)[some]], degree[some]) - (running - chance)
-        until[edge[some]] = 2.0  # whatever rounding has left
-
-        node, first = int(self._sizes["edge"]), int(self._sizes["size"])
-        for name, values in (("first_node", node_at[:-1] + node), ("last_node", node_at[1:] - 1 + node), ("edge", edge + first), ("degree", degree), ("size", size + 1), ("piece", piece), ("log", log), ("until", until)):
+        until = np.repeat(running[first + degree - 1], degree) - (running - chance)
+        until[first] = 2.0  # whatever rounding has left
+
+        edge = np.empty(int(node_at[-1]), np.int64)
+        edge[node_of] = first
+        ends = node_at[1:] - 1
+        edge[ends] = np.append(first, total)[np.cumsum(length)]
+        node, edges = self._sizes["edge"], self._sizes["size"]
+        for name, values in (("first_node", node_at[:-1] + node), ("last_node", ends + node), ("uses", np.zeros(len(length), np.int32)), ("edge", edge + edges), ("size", size), ("piece", piece), ("log", log), ("until", until)):
             self._append(name, values)
 
     def draw(self, node: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path from each node to the last of its unit: edges one after the other, their number and log-probability."""
         n = len(node)
-        count, log = np.zeros(n, np.int64), np.zeros(n)
-        now, current = np.flatnonzero(node != last), node.copy()
-        steps = []
+        now = np.flatnonzero(node != last)
+        current, end, seed = node[now], last[now], seed[now]
+        rows, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(now):
-            edge = self.edge[current[now]] + self.degree[current[now]] - 1
-            u = _uniform(seed[now] + np.uint64(len(steps) * 0xD1342543DE82EF95 % 2**64))
-            todo = np.arange(len(now))
-            while len(todo := todo[u[todo] > self.until[edge[todo]]]):
+            edge = self.edge[current + 1] - 1
+            u = _uniform(seed + np.uint64((len(steps) - 1) * 0xD1342543DE82EF95 % 2**64))
+            todo = np.flatnonzero(u > self.until[edge])
+            while len(todo):
                 edge[todo] -= 1
-            steps.append((now, edge))
-            count[now] += 1
-            log[now] += self.log[edge]
-            current[now] += self.size[edge]
-            now = now[current[now] != last[now]]
+                todo = todo[u[todo] > self.until[edge[todo]]]
+            rows.append(now)
+            steps.append(edge)
+            current = current + self.size[edge]
+            go = np.flatnonzero(current != end)
+            now, current, end, seed = now[go], current[go], end[go], seed[go]
+        row, edge = np.concatenate(rows), np.concatenate(steps)
+        count, log = np.bincount(row, minlength=n), np.bincount(row, self.log[edge], n)
         first = np.cumsum(count) - count
-        out = np.zeros(int(count.sum()), np.int64)
-        for i, (rows, edge) in enumerate(steps):
-            out[first[rows] + i] = edge
+        out = np.zeros(len(edge), np.int64)
+        out[first[row] + np.repeat(np.arange(len(rows)) - 1, [len(x) for x in rows])] = edge
         return out, count, log
 
 
@@ -343,7 +390,7 @@ def _expand(search: _Search, node: tuple, lattice: Lattice, of: int, seed: np.ui
     beside, location = [], []
     src = int(lattice.first_node[of]) + int(lattice.size[own[:kept]].sum(dtype=np.int64))
     for i in range(kept, len(own)):
-        for e in range(int(lattice.edge[src]), int(lattice.edge[src] + lattice.degree[src])):
+        for e in range(int(lattice.edge[src]), int(lattice.edge[src + 1])):
             if e != own[i]:
                 beside.append((i, e))
                 location.append(log + float(lattice.log[e]))

@@ -699,6 +699,26 @@ def test_sampling_follows_the_distribution_without_replacement():
     assert total == pytest.approx(1, abs=0.01)
 
 
+def test_full_lattice_keeps_the_units_in_use(monkeypatch):
+    texts = [f"the common words of all texts and {'%06d' % (i * 7919 % 999983)} numbers" for i in range(300)]
+    monkeypatch.setattr(segment, "SLICE_BYTES", 512)
+    at_once = sampled(texts)
+    built: list[str] = []
+    build = segment.Lattice._build
+
+    def counted(self, chars, length):
+        built.extend("".join(map(chr, chars)).replace("\u2581", " ").split())
+        build(self, chars, length)
+
+    monkeypatch.setattr(segment.Lattice, "_build", counted)
+    monkeypatch.setattr(segment.Lattice, "MOST_EDGES", 1500)
+    monkeypatch.setattr(segment.Lattice, "KEPT_EDGES", 750, raising=False)
+    in_parts = sampled(texts)
+    assert built.count("common") == built.count("numbers") == 1
+    assert len(set(built)) == 300 + 8
+    assert [[x[0] for x in own] for own in in_parts] == [[x[0] for x in own] for own in at_once]
+
+
 def test_few_segmentations_come_whole():
     (only,) = sampled(["a"], samples=5)
     assert sorted(tuple(ids) for ids, *_ in only) == sorted(segmentations("a"))
