@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, line_dedup, quality, segment
+from tessera.llm import text as kernel
 from tessera.llm.common import checkpoint_folder, delete_at_end, table
 
 #: The classifier and the sampler are fitted or drawn; SQL can't express them.
@@ -29,6 +30,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settings = quality.Settings()
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), settings)
+    kernel.give_back()  # the rows of the fit, else the driver holds their memory through all later stages
     return quality.accepted(docs, model, settings)
 
 
@@ -43,7 +45,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.deduplicated(docs)
+    kept = jaccard_join.deduplicated(docs)
+    kernel.give_back()
+    return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

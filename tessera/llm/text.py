@@ -20,6 +20,14 @@ SLICE_BYTES = 1 << 18
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """run, giving freed memory back when a task ends: workers are used again, and executors are small."""
 
@@ -27,10 +35,7 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 
