@@ -141,8 +141,8 @@ def _handed_out(spark: SparkSession, model_file: str) -> str:
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers first .. first + count - 1 of each row, one after the other."""
-    total = int(count.sum())
-    return np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -389,13 +389,15 @@ def _expand(search: _Search, node: tuple, lattice: Lattice, of: int, seed: np.ui
     log = before
     beside, location = [], []
     src = int(lattice.first_node[of]) + int(lattice.size[own[:kept]].sum(dtype=np.int64))
-    for i in range(kept, len(own)):
-        for e in range(int(lattice.edge[src]), int(lattice.edge[src + 1])):
-            if e != own[i]:
+    for i, (taken, size) in enumerate(zip(own[kept:].tolist(), lattice.size[own[kept:]].tolist(), strict=True), kept):
+        begin, end = lattice.edge[src : src + 2].tolist()
+        logs = lattice.log[begin:end].tolist()
+        for e in range(begin, end):
+            if e != taken:
                 beside.append((i, e))
-                location.append(log + float(lattice.log[e]))
-        log += float(lattice.log[own[i]])
-        src += int(lattice.size[own[i]])
+                location.append(log + logs[e - begin])
+        log += logs[taken - begin]
+        src += size
     location = np.array(location)
     u = _uniform(seed + np.arange(2 * len(beside), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     chosen = int((location - np.log(-np.log(u[: len(beside)]))).argmax())
